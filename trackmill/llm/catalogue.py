@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trackmill.llm import licenses, urlfilter
+from trackmill.llm import licenses, simhash, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.op2_url_filter,
     "op4_license_scan": licenses.op4_license_scan,
+    "op7_simhash": simhash.op7_simhash,
 }
 SQL = {**urlfilter.SQL, **licenses.SQL}
