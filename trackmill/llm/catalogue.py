@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trackmill.llm import licenses, simhash, urlfilter
+from trackmill.llm import licenses, neighbours, simhash, urlfilter
 
 QUERIES = {
+    "op1_cross_polytope": neighbours.op1_cross_polytope,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op4_license_scan": licenses.op4_license_scan,
     "op7_simhash": simhash.op7_simhash,
