@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from trackmill.llm import licenses, neighbours, simhash, urlfilter
+from trackmill.llm import bpe, licenses, neighbours, packing, simhash, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op4_license_scan": licenses.op4_license_scan,
+    "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op10_packing": packing.op10_packing,
 }
 SQL = {**urlfilter.SQL, **licenses.SQL}
