@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, licenses, neighbours, packing, simhash, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, simhash, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_language": langid.op3_language,
     "op4_license_scan": licenses.op4_license_scan,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
