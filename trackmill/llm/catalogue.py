@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, langid, licenses, neighbours, packing, simhash, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, simhash, sketches, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op8_fingerprints": sketches.op8_fingerprints,
     "op10_packing": packing.op10_packing,
 }
 SQL = {**urlfilter.SQL, **licenses.SQL}
