@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, langid, licenses, neighbours, packing, simhash, sketches, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, repeats, simhash, sketches, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_language": langid.op3_language,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_repeats": repeats.op5_repeats,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
     "op8_fingerprints": sketches.op8_fingerprints,
