@@ -11,7 +11,7 @@ from trackmill.llm import bpe, packing
 PATH = public_tokenizers.path(bpe.TOKENIZER)
 ODD = [
     None, "", " \n\t", "x" * 5000, "word, (word). I'M don't we’ll 1234 ½ ② _a_", "İstanbul ΣΑΣ ǅ Å", "a\x1cb ́x \xa0y　z​q",
-    "<|endoftext|>a<|startoftext|> <|END <|endof" + "text|>" * 90, "日本語テキスト" * 300, "é" * 1000, "हिन्दी 👩‍👩‍👧 " * 50,
+    "<|ENDOFTEXT|> x A<|EndOfText|>, a " * 3, "<|endoftext|>a<|startoftext|> <|END <|endof" + "text|>" * 90, "日本語テキスト" * 300, "é" * 1000, "हिन्दी 👩‍👩‍👧 " * 50,
 ]
 
 
@@ -30,9 +30,10 @@ def texts():
 def test_same_ids_as_the_library(library, bits):
     e = bpe.Encoder(PATH)
     for _ in range(2):  # the second time from what is remembered
-        got = e.encode(texts(), bits)
-        assert got == [library.encode(x or "", add_special_tokens=False).ids for x in texts()]
-        e.words.most = e.chunks.most = 10
+        want = [library.encode(x or "", add_special_tokens=False).ids for x in texts()]
+        got = [x.tolist() for x in e.encode(texts(), bits)]
+        assert got == want == [x.tolist() for x in e.encode_plain(texts())]
+        e.most_words = e.most_chunks = 10
     assert [e.decode(x) for x in got] == [library.decode(x, skip_special_tokens=False) for x in got]
 
 

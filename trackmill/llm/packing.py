@@ -98,8 +98,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             kind = "Int64" if pd.api.types.is_numeric_dtype(b["k_id"].dtype) else object
             for lo, hi in slices(texts):
                 rows = []
-                for key, ids in zip(keys[lo:hi], e.encode(texts[lo:hi])):
-                    ids = np.array([*ids, end_id], dtype=np.int32)
+                for key, ids in zip(keys[lo:hi], e.encode_plain(texts[lo:hi])):
+                    ids = np.append(ids, np.int32(end_id))
                     for w, o, s, n in p.place(len(ids)):
                         held.setdefault(w, []).append((key, s, n, ids[s : s + n], len(ids), base + w, o))
                     for w in p.closed:
