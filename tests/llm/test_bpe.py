@@ -84,7 +84,7 @@ def test_little_padding(spark, library):
     rng = np.random.default_rng(3)
     rows = [(i, "the " * int(n)) for i, n in enumerate(rng.lognormal(5.5, 1.2, size=1500))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = packing.pack(df, PATH).withColumn("ids_crc32", packing._crc32(packing.F.col("ids"))).collect()
+    got = packing.pack(df, PATH).withColumn("ids_crc32", packing.crc32("ids")).collect()
     assert check_packing(got, {i: library.encode(t, add_special_tokens=False).ids + [2] for i, t in rows}) > 0.97
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, langid, licenses, neighbours, packing, repeats, simhash, sketches, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repeats, simhash, sketches, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
     "op8_fingerprints": sketches.op8_fingerprints,
+    "op9_passages": passages.op9_passages,
     "op10_packing": packing.op10_packing,
 }
 SQL = {**urlfilter.SQL, **licenses.SQL}

@@ -12,6 +12,7 @@ Pieces are written once with their window; leftovers then only move as (window,
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from trackmill.llm.bpe import TOKENIZER, encoder, slices
 from trackmill.sources.tables import materialise, table
@@ -71,8 +73,10 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, windows: int = WINDOWS, end_id: int = END, least: int = LEAST) -> DataFrame:
-    """(id_col, start, length, ids, doc_tokens, sequence_id, offset): a row for each piece.
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, windows: int = WINDOWS, end_id: int = END, least: int = LEAST, digest: bool = False) -> DataFrame:
+    """(id_col, start, length, ids, doc_tokens, sequence_id, offset): a row for each piece. With
+    digest=True, ids_crc32 (CRC-32 of the ids as little-endian unsigned 32-bit numbers) stands
+    instead of ids, which then are only kept for leftovers.
 
     A document is its token ids and end_id, cut into pieces; each id lies in one piece. A
     sequence has `length` tokens at most and is gapless from offset 0. A null or empty text is
@@ -80,7 +84,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     id stays null; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    columns = ["k_id", "start", "length", "ids", "doc_tokens", "window_", "offset", "left_"]
+    columns = ["k_id", "start", "length", "ids", "doc_tokens", "window_", "offset", "crc", "left_"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, p = encoder(path), Packer(length, windows, least)
@@ -89,7 +93,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         kind = None
 
         def frame(rows: list[tuple], left: bool) -> pd.DataFrame:
-            out = pd.DataFrame([(*r, left) for r in rows], columns=columns)
+            out = pd.DataFrame([(*r, zlib.crc32(r[3].tobytes()) if digest else 0, left) for r in rows], columns=columns)
+            if digest and not left:
+                out["ids"] = None
             out["k_id"] = pd.array(out["k_id"].tolist(), dtype=kind)
             return out
 
@@ -112,7 +118,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     chosen = docs.select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
     kind = chosen.schema["k_id"].dataType.simpleString()
-    pieces, _ = materialise(chosen.mapInPandas(run, f"k_id {kind}, start long, length long, ids array<int>, doc_tokens long, window_ long, offset long, left_ boolean"))
+    pieces, _ = materialise(chosen.mapInPandas(run, f"k_id {kind}, start long, length long, ids array<int>, doc_tokens long, window_ long, offset long, crc long, left_ boolean"))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         """Leftover windows of a group, one after the other, cut into whole windows."""
@@ -129,17 +135,23 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     first, last = F.greatest("offset", "lo_"), F.least(F.col("offset") + F.col("length"), F.col("hi_"))
     joined = left.join(moved, (left["window_"] == moved["from_"])).where(first < last).withColumn("first_", first).withColumn("n_", last - first)
     skip = F.col("first_") - F.col("offset")
-    merged = joined.select("k_id", (F.col("start") + skip).alias("start"), F.col("n_").alias("length"), F.slice("ids", (skip + 1).cast("int"), F.col("n_").cast("int")).alias("ids"), "doc_tokens", F.col("to_").alias("sequence_id"), (F.col("first_") - F.col("lo_") + F.col("at_")).alias("offset"))
-    closed = pieces.where("NOT left_").select("k_id", "start", "length", "ids", "doc_tokens", F.col("window_").alias("sequence_id"), "offset")
+    part = F.slice("ids", (skip + 1).cast("int"), F.col("n_").cast("int"))
+    value, name = (crc32(part), "ids_crc32") if digest else (part, "ids")
+    merged = joined.select("k_id", (F.col("start") + skip).alias("start"), F.col("n_").alias("length"), value.alias(name), "doc_tokens", F.col("to_").alias("sequence_id"), (F.col("first_") - F.col("lo_") + F.col("at_")).alias("offset"))
+    closed = pieces.where("NOT left_").select("k_id", "start", "length", F.col("crc" if digest else "ids").alias(name), "doc_tokens", F.col("window_").alias("sequence_id"), "offset")
     return closed.unionByName(merged).withColumnRenamed("k_id", id_col)
 
 
-def _crc32(ids) -> F.Column:
+@F.pandas_udf(LongType())
+def crc32(ids: pd.Series) -> pd.Series:
     """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    swapped = F.transform(ids, lambda x: F.concat(*[F.substring(F.lpad(F.hex(x), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
-    return F.crc32(F.unhex(F.array_join(swapped, "")))
+    return ids.map(lambda x: zlib.crc32(np.asarray(x, dtype="<i4").tobytes()))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return packed.select("doc_id", "start", "length", _crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digest=True)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: the pieces of all documents, with their ids, in sequences for training."""
+    return pack(docs, public_tokenizers.path(TOKENIZER))

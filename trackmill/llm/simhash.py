@@ -94,7 +94,8 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(key: np.ndarray, fp: np.ndarray, at: np.ndarray, radius: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links between the places `at` whose keys are equal (key is sorted) and whose fingerprints
-    are within the radius: for each group a spanning forest of them, as two arrays."""
+    are within the radius, as two arrays. Where there are very many, they are replaced by a forest
+    with the same components, whose edges lead to the smallest place of each."""
     start, size = _runs(key)
     out_a, out_b = [], []
     large = size > SPLIT
@@ -206,10 +207,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the document with its smallest id stays."""
+    """docs without near-duplicates: of each component the document with its smallest id stays,
+    and of equal rows one. Rows with a null id stay, as no id tells them apart."""
     gone = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
+    kept = docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
+    twice, _ = materialise(docs.groupBy(F.col(id_col).alias("twice_")).count().where("count > 1 AND twice_ IS NOT NULL").select("twice_"))
+    if twice.isEmpty():
+        return kept
+    again = kept[id_col] == twice["twice_"]
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates())
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: one document of each group of near-duplicates stays."""
+    return keep_one_of_each(docs)
