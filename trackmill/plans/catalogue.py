@@ -1,4 +1,9 @@
 """Queries over the reference's operators, and SQL to hold them against."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from trackmill.operators import aggregates, scans, sequence
+
+_MODULES = (scans, aggregates, sequence)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
