@@ -23,6 +23,11 @@ def at_share(column: str, share: float) -> Column:
     return F.element_at(F.array_sort(F.collect_list(column)), F.least((n * F.lit(share)).cast("int"), (n - 1).cast("int")) + 1)
 
 
+def half_up(x: Column) -> Column:
+    """x to six places, as binary arithmetic has it: alike in every engine."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def dwell(events: DataFrame) -> DataFrame:
     """First and last time of each person at each camera, with the seconds between."""
     r = events.groupBy("camera", "person").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
@@ -197,7 +202,7 @@ def running_mean(s: SparkSession, d: str) -> DataFrame:
     e = V.tracking_events(s, d)
     e = e.withColumn("a", F.array_sort(F.collect_list("y").over(last)))
     middle = (F.element_at("a", F.expr("(size(a) + 1) div 2").cast("int")) + F.element_at("a", F.expr("size(a) div 2 + 1").cast("int"))) / 2
-    return e.select("id", F.round(F.avg("y").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("mean"), F.round(F.avg("y").over(last), 6).alias("avg5"), F.round(middle, 4).alias("median5"), F.col("y").alias("latest"))
+    return e.select("id", F.round(F.avg("y").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("mean"), half_up(F.avg("y").over(last)).alias("avg5"), half_up(middle).alias("median5"), F.col("y").alias("latest"))
 
 
 def ema_metric(s: SparkSession, d: str) -> DataFrame:
@@ -313,7 +318,7 @@ SQL = {
     "performance_report": f"WITH {E_}, h AS (SELECT us // 3600000000 AS hour, count(*) AS n, count(DISTINCT person) AS persons, avg(conf) AS conf FROM ev GROUP BY ALL ORDER BY hour DESC LIMIT 1000) SELECT round(avg(n), 6) AS mean_rate, round(avg(persons), 6) AS mean_persons, max(persons) AS peak_persons, round(avg(conf), 6) AS mean_conf FROM h",
     "dashboard_summary": f"WITH {_tot(V.DAY)}, p AS (SELECT *, lag(detections) OVER (PARTITION BY env ORDER BY bucket) AS d0 FROM tot WHERE camera = '__all__') SELECT env, bucket, detections, persons, round(conf_sum / conf_n * 100, 2) AS conf_pct, detections - d0 AS delta, round((detections - d0) * 100.0::DOUBLE / d0, 2) AS delta_pct FROM p",
     "percentile_exact": f"WITH {E_}, l AS (SELECT camera, list_sort(list(y)) AS a, avg(y) AS m, quantile_cont(y, 0.95) AS q FROM ev GROUP BY camera) SELECT camera, round(m, 6) AS mean, round(a[least(floor(len(a) * 0.95::DOUBLE)::BIGINT, len(a) - 1) + 1], 6) AS p95, round(a[least(floor(len(a) * 0.99::DOUBLE)::BIGINT, len(a) - 1) + 1], 6) AS p99, round(q, 6) AS p95_interpolated FROM l",
-    "running_mean": f"WITH {E_} SELECT id, round(avg(y) OVER w, 6) AS mean, round(avg(y) OVER f, 6) AS avg5, round(median(y) OVER f, 4) AS median5, y AS latest FROM ev WINDOW w AS (PARTITION BY person ORDER BY us, id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY person ORDER BY us, id ROWS 4 PRECEDING)",
+    "running_mean": f"WITH {E_} SELECT id, round(avg(y) OVER w, 9) AS mean, floor(avg(y) OVER f * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS avg5, floor(median(y) OVER f * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS median5, y AS latest FROM ev WINDOW w AS (PARTITION BY person ORDER BY us, id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY person ORDER BY us, id ROWS 4 PRECEDING)",
     "ema_metric": f"WITH RECURSIVE {E_}, t AS (SELECT env, row_number() OVER (PARTITION BY env ORDER BY us // 86400000000) AS r, count(*)::DOUBLE AS n FROM ev GROUP BY env, us // 86400000000), e AS (SELECT env, r, n AS v FROM t WHERE r = 1 UNION ALL SELECT t.env, t.r, 0.1::DOUBLE * t.n + 0.9::DOUBLE * e.v FROM e JOIN t ON t.env = e.env AND t.r = e.r + 1) SELECT env, max(r) AS days, round(arg_max(v, r), 6) AS ema FROM e GROUP BY env",
     "success_rates": f"WITH {E_} SELECT camera, round(greatest(count(*) - count(*) FILTER (event_type = 'error'), 0) / count(*)::DOUBLE, 6) AS success_rate FROM ev GROUP BY camera",
     "dataset_summary": f"WITH {E_} SELECT CASE WHEN id % 10 = 0 THEN 'query' WHEN id % 10 < 5 THEN 'gallery' ELSE 'train' END AS subset, count(DISTINCT track) AS ids, count(*) AS images, count(DISTINCT camera) AS cameras FROM ev GROUP BY 1",
