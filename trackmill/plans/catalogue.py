@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.operators import aggregates, scans, sequence
+from trackmill.operators import aggregates, evaluate, identity, maintenance, scans, sequence, spatial
+from trackmill.streaming import stream
 
-_MODULES = (scans, aggregates, sequence)
+_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, stream)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
