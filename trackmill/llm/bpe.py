@@ -26,11 +26,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackmill.llm.keyed import small_batches
 from trackmill.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
 #: A cut falls on one in 1 << CUT_BITS bytes; words and chunks that a worker remembers; bytes taken at a time.
-CUT_BITS, WORDS, CHUNKS, PART = 9, 1_000_000, 20_000, 1 << 20
+CUT_BITS, WORDS, CHUNKS, PART = 9, 600_000, 10_000, 1 << 20
 
 _GEAR = np.random.default_rng(20).integers(0, 1 << 64, size=256, dtype=np.uint64).astype(np.uint32)
 #: Kinds of bytes: white space on which every rule agrees, letters, digits, and marks that start no contraction and no special token.
@@ -291,7 +292,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     out["decoded"] = list(map(e.decode, ids))
                 yield pd.DataFrame(out)
 
-    chosen = docs.select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
+    chosen = small_batches(docs).select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
     kind = chosen.schema["k_id"].dataType.simpleString()
     return chosen.mapInPandas(run, f"k_id {kind}, ids array<int>" + ", decoded string" * decode).withColumnRenamed("k_id", id_col)
 

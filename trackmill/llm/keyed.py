@@ -12,11 +12,22 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in keys; a text with this id is told apart by its hash.
 NULL = -(1 << 63)
+#: Rows in a batch of texts.
+ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after having the session send rows to Python by the thousand at most: whole texts are
+    long, and a batch of ten thousand is held several times over."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    return docs
 
 
 def chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, k_text): ids as long with NULL for null, texts with null as empty."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("k_text"))
+    return small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("k_text"))
 
 
 def tag(data: bytes) -> int:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackmill.llm.keyed import small_batches
 from trackmill.sources.tables import table
 
 BUCKETS, DIM, SEED, EPOCHS, BATCH, RATE = 1 << 16, 16, 11, 12, 16, 0.5
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     they are, columns of these four names excepted; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("lang_pred", "score", "known", "accepted")
+    plain = small_batches(docs).drop("lang_pred", "score", "known", "accepted")
 
     @F.pandas_udf("lang_pred string, score double, known double, accepted boolean")
     def judged(text: pd.Series) -> pd.DataFrame:

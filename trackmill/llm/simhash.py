@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackmill.llm.keyed import small_batches
 from trackmill.operators.graph import connected_components
 from trackmill.sources.tables import materialise, table
 
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x, shingle, seed) for x in b["k_text"]], dtype=np.uint64)
             yield pd.DataFrame({"k_id": b["k_id"], "fp": fp.view(np.int64)})
 
-    chosen = docs.select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
+    chosen = small_batches(docs).select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
     kind = chosen.schema["k_id"].dataType.simpleString()
     return chosen.mapInPandas(run, f"k_id {kind}, fp long")
 
