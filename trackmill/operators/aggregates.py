@@ -12,13 +12,18 @@ from trackmill.sources import views as V
 DWELL_CLASSES = (60, 300, 900)
 
 
-def upper_median(column: str) -> Column:
-    """The element at n div 2 of the sorted values (the upper one of two)."""
+def upper_median(column: str, exact: bool = True) -> Column:
+    """The element at n div 2 of the sorted values (the upper one of two). The exact form holds a
+    group's values; exact=False sketches them, for groups of any size."""
+    if not exact:
+        return F.percentile_approx(column, 0.5, 100_000)
     return F.element_at(F.array_sort(F.collect_list(column)), (F.count(column) / 2).cast("int") + 1)
 
 
-def at_share(column: str, share: float) -> Column:
-    """The element at int(n * share) of the sorted values."""
+def at_share(column: str, share: float, exact: bool = True) -> Column:
+    """The element at int(n * share) of the sorted values; exact as for the upper median."""
+    if not exact:
+        return F.percentile_approx(column, share, 100_000)
     n = F.count(column)
     return F.element_at(F.array_sort(F.collect_list(column)), F.least((n * F.lit(share)).cast("int"), (n - 1).cast("int")) + 1)
 
@@ -34,14 +39,14 @@ def dwell(events: DataFrame) -> DataFrame:
     return r.withColumn("dwell_s", F.greatest(F.lit(0.0), (F.col("last_us") - F.col("first_us")) / 1e6))
 
 
-def dwell_summary(intervals: DataFrame) -> DataFrame:
+def dwell_summary(intervals: DataFrame, exact: bool = True) -> DataFrame:
     """Per camera: mean, upper median, least, most, and shares of the dwell classes."""
     lo, parts = 0, []
     for i, hi in enumerate((*DWELL_CLASSES, None)):
         inside = (F.col("dwell_s") >= lo) & (F.col("dwell_s") < hi if hi else F.lit(True))
         parts += [F.count_if(inside).alias(f"n_class{i}"), F.round(F.count_if(inside) * 100.0 / F.count("*"), 4).alias(f"pct_class{i}")]
         lo = hi
-    return intervals.groupBy("camera").agg(F.count("*").alias("persons"), F.round(F.avg("dwell_s"), 6).alias("avg_s"), F.round(upper_median("dwell_s"), 6).alias("median_s"), F.round(F.min("dwell_s"), 6).alias("min_s"), F.round(F.max("dwell_s"), 6).alias("max_s"), *parts)
+    return intervals.groupBy("camera").agg(F.count("*").alias("persons"), F.round(F.avg("dwell_s"), 6).alias("avg_s"), F.round(upper_median("dwell_s", exact), 6).alias("median_s"), F.round(F.min("dwell_s"), 6).alias("min_s"), F.round(F.max("dwell_s"), 6).alias("max_s"), *parts)
 
 
 def bucket_totals(events: DataFrame, size: int = V.HOUR) -> DataFrame:
