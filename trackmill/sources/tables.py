@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints (spark.checkpoint.dir). Where
-    none is set (local tests), a temporary folder of this machine."""
+    """The folder that the cluster shares for checkpoints (spark.checkpoint.dir). Where none is
+    set, a temporary folder of this machine if everything runs on it, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="trackmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
