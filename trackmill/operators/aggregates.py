@@ -33,6 +33,11 @@ def half_up(x: Column) -> Column:
     return F.floor(x * 1e6 + 0.5) / 1e6
 
 
+def hundredths(x: Column) -> Column:
+    """x to two places; a trifle is added first, so that sums of another order give the same."""
+    return F.floor(x * 100 + 0.5 + 1e-7) / 100
+
+
 def dwell(events: DataFrame) -> DataFrame:
     """First and last time of each person at each camera, with the seconds between."""
     r = events.groupBy("camera", "person").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
@@ -193,7 +198,7 @@ def dashboard_summary(s: SparkSession, d: str) -> DataFrame:
     """Day by day and environment: totals, mean confidence, and the change against the day before."""
     t = bucket_totals(V.tracking_events(s, d), V.DAY).where("camera = '__all__'")
     prev = F.lag("detections").over(Window.partitionBy("env").orderBy("bucket"))
-    return t.select("env", "bucket", "detections", "persons", F.round(F.try_divide("conf_sum", "conf_n") * 100, 2).alias("conf_pct"), (F.col("detections") - prev).alias("delta"), F.round(F.try_divide((F.col("detections") - prev) * 100.0, prev), 2).alias("delta_pct"))
+    return t.select("env", "bucket", "detections", "persons", hundredths(F.try_divide("conf_sum", "conf_n") * 100).alias("conf_pct"), (F.col("detections") - prev).alias("delta"), hundredths(F.try_divide((F.col("detections") - prev) * 100.0, prev)).alias("delta_pct"))
 
 
 def percentile_exact(s: SparkSession, d: str) -> DataFrame:
@@ -321,7 +326,7 @@ SQL = {
     "camera_loads": f"WITH {E_}, l AS (SELECT camera, us, {_NEWEST.format(k='person')} AS r FROM ev) SELECT camera, count(*) AS active_persons FROM l WHERE r = 1 AND us >= (SELECT max(us) FROM ev) - 86400000000 GROUP BY camera",
     "realtime_snapshot": f"WITH {E_}, m AS (SELECT max(us) AS a FROM ev) SELECT count(DISTINCT CASE WHEN us >= a - 86400000000 THEN person END) AS active, round(count(*) FILTER (us >= a - 3600000000) / 60.0::DOUBLE, 6) AS per_minute, round(coalesce(avg(conf) FILTER (us >= a - 18000000000), 0), 6) AS avg_conf FROM ev, m",
     "performance_report": f"WITH {E_}, h AS (SELECT us // 3600000000 AS hour, count(*) AS n, count(DISTINCT person) AS persons, avg(conf) AS conf FROM ev GROUP BY ALL ORDER BY hour DESC LIMIT 1000) SELECT round(avg(n), 6) AS mean_rate, round(avg(persons), 6) AS mean_persons, max(persons) AS peak_persons, round(avg(conf), 6) AS mean_conf FROM h",
-    "dashboard_summary": f"WITH {_tot(V.DAY)}, p AS (SELECT *, lag(detections) OVER (PARTITION BY env ORDER BY bucket) AS d0 FROM tot WHERE camera = '__all__') SELECT env, bucket, detections, persons, round(conf_sum / conf_n * 100, 2) AS conf_pct, detections - d0 AS delta, round((detections - d0) * 100.0::DOUBLE / d0, 2) AS delta_pct FROM p",
+    "dashboard_summary": f"WITH {_tot(V.DAY)}, p AS (SELECT *, lag(detections) OVER (PARTITION BY env ORDER BY bucket) AS d0 FROM tot WHERE camera = '__all__') SELECT env, bucket, detections, persons, floor(conf_sum / conf_n * 100 * 100 + 0.5::DOUBLE + 1e-7::DOUBLE) / 100 AS conf_pct, detections - d0 AS delta, floor((detections - d0) * 100.0::DOUBLE / d0 * 100 + 0.5::DOUBLE + 1e-7::DOUBLE) / 100 AS delta_pct FROM p",
     "percentile_exact": f"WITH {E_}, l AS (SELECT camera, list_sort(list(y)) AS a, avg(y) AS m, quantile_cont(y, 0.95) AS q FROM ev GROUP BY camera) SELECT camera, round(m, 6) AS mean, round(a[least(floor(len(a) * 0.95::DOUBLE)::BIGINT, len(a) - 1) + 1], 6) AS p95, round(a[least(floor(len(a) * 0.99::DOUBLE)::BIGINT, len(a) - 1) + 1], 6) AS p99, round(q, 6) AS p95_interpolated FROM l",
     "running_mean": f"WITH {E_} SELECT id, round(avg(y) OVER w, 9) AS mean, floor(avg(y) OVER f * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS avg5, floor(median(y) OVER f * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS median5, y AS latest FROM ev WINDOW w AS (PARTITION BY person ORDER BY us, id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY person ORDER BY us, id ROWS 4 PRECEDING)",
     "ema_metric": f"WITH RECURSIVE {E_}, t AS (SELECT env, row_number() OVER (PARTITION BY env ORDER BY us // 86400000000) AS r, count(*)::DOUBLE AS n FROM ev GROUP BY env, us // 86400000000), e AS (SELECT env, r, n AS v FROM t WHERE r = 1 UNION ALL SELECT t.env, t.r, 0.1::DOUBLE * t.n + 0.9::DOUBLE * e.v FROM e JOIN t ON t.env = e.env AND t.r = e.r + 1) SELECT env, max(r) AS days, round(arg_max(v, r), 6) AS ema FROM e GROUP BY env",
