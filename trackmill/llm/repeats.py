@@ -137,11 +137,12 @@ def _sort_group(x: pd.DataFrame, least: int, keep: str) -> pd.DataFrame:
 def repeated(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int, keep: str, split: int) -> DataFrame:
     """(k, t, lo, hi): byte ranges of the texts that are to go; they may overlap."""
     every, _ = materialise(_stretches(docs, id_col, text_col, least, gram))
-    again = every.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("a_"))
+    # counts are written before they are joined: only a join of two shuffles is split where a key is hot
+    again, _ = materialise(every.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("a_")))
     live, _ = materialise(every.join(again, every["a"] == again["a_"]).drop("a_"))
     kinds = live.groupBy("a", "c").agg(F.count("*").alias("same"), F.min(F.struct("k", "t", "at", "n")).alias("first"))
     kinds, _ = materialise(kinds)
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("a").alias("a_"), "kinds")
+    mixed, _ = materialise(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("a").alias("a_"), "kinds"))
 
     # stretches that are equal as a whole
     equal = kinds.where("same > 1").select(F.col("a").alias("a_"), F.col("c").alias("c_"), "first")
