@@ -31,7 +31,7 @@ from trackmill.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
 #: A cut falls on one in 1 << CUT_BITS bytes; words and chunks that a worker remembers; bytes taken at a time.
-CUT_BITS, WORDS, CHUNKS, PART = 9, 600_000, 10_000, 1 << 20
+CUT_BITS, WORDS, CHUNKS, PART = 9, 400_000, 10_000, 1 << 18
 
 _GEAR = np.random.default_rng(20).integers(0, 1 << 64, size=256, dtype=np.uint64).astype(np.uint32)
 #: Kinds of bytes: white space on which every rule agrees, letters, digits, and marks that start no contraction and no special token.
@@ -164,7 +164,7 @@ class Encoder:
         if not data:
             return self.pool[:0], np.zeros(len(texts), dtype=np.int64)
         low, start, end = self._words(np.frombuffer(data, dtype=np.uint8))
-        value, power, inverse = _powers(1 << max(20, len(low).bit_length()))
+        value, power, inverse = _powers(1 << max(19, len(low).bit_length()))
         first, second = ((s := np.concatenate(([np.uint64(0)], np.cumsum(v[low] * power[: len(low)], dtype=np.uint64))), (s[end] - s[start]) * inverse[start])[1] for v in value)
         first ^= first >> np.uint64(29)
         one, back = np.unique(first, return_inverse=True)
@@ -261,7 +261,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters."""
     lo = n = 0
     for i, x in enumerate(texts):

@@ -36,7 +36,7 @@ from trackmill.sources.tables import materialise, table
 
 LEAST, GRAM, SEED = 200, 32, 5
 #: Different stretches of one anchor that one task sorts; windows sorted at a time; bytes hashed at a time.
-SPLIT, WINDOWS, PART = 2000, 1 << 16, 1 << 20
+SPLIT, WINDOWS, PART = 2000, 1 << 16, 1 << 18
 
 
 @functools.cache
