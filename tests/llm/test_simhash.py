@@ -63,3 +63,11 @@ def test_large_group_is_split(n):
     i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
     # links are kept as a forest over each component: its edges join places of one component, not always within the radius
     assert np.array_equal(label, simhash._forest(len(fp), i, j))
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rng = np.random.default_rng(6)
+    x, y, z = (" ".join(f"w{n}" for n in rng.integers(500, size=100)) for _ in range(3))
+    rows = [(5, x), (9, x), (5, y), (1, y), (None, z), (None, z), (None, x)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, x), (1, y), (None, z)], key=str)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -35,7 +35,13 @@ def tag(data: bytes) -> int:
     return xxhash.xxh32_intdigest(data) - (1 << 31)
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def wide_tag(data: bytes) -> int:
+    """The same in 64 bits, for many texts of one id: what Spark's xxhash64 gives for the string."""
+    x = xxhash.xxh64_intdigest(data, 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str, tag: Callable[[bytes], int] = tag) -> DataFrame:
     """(k, t, z): a row for each of docs with its key and its compressed text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,7 +50,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data = [x.encode("utf-8", "replace") for x in b["k_text"]]
             yield pd.DataFrame({"k": b["k"], "t": list(map(tag, data)), "z": list(map(press.compress, data))})
 
-    return chosen(docs, id_col, text_col).mapInPandas(run, "k long, t int, z binary")
+    return chosen(docs, id_col, text_col).mapInPandas(run, f"k long, t {'long' if tag is wide_tag else 'int'}, z binary")
 
 
 def unpacked(z: bytes) -> bytes:

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.llm.keyed import small_batches
@@ -53,15 +53,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(k_id, fp) with the fingerprint's bits as a signed long, a row for each of docs."""
+    return _prints(docs, id_col, text_col, shingle, seed).drop("t")
+
+
+def _hash(text_col: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """fingerprints with t, the text's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(x, shingle, seed) for x in b["k_text"]], dtype=np.uint64)
-            yield pd.DataFrame({"k_id": b["k_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"k_id": b["k_id"], "t": b["t"], "fp": fp.view(np.int64)})
 
-    chosen = small_batches(docs).select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
+    chosen = small_batches(docs).select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"), _hash(text_col).alias("t"))
     kind = chosen.schema["k_id"].dataType.simpleString()
-    return chosen.mapInPandas(run, f"k_id {kind}, fp long")
+    return chosen.mapInPandas(run, f"k_id {kind}, t long, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -208,15 +218,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the document with its smallest id stays,
-    and of equal rows one. Rows with a null id stay, as no id tells them apart."""
-    gone = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
-    twice, _ = materialise(docs.groupBy(F.col(id_col).alias("twice_")).count().where("count > 1 AND twice_ IS NOT NULL").select("twice_"))
+    """docs without near-duplicates: of each component the document with the smallest id stays,
+    of equal ids the one with the smaller hash of the text, and of rows equal in both, one. Null
+    ids count as the largest."""
+    prints, _ = materialise(_prints(docs, id_col, text_col))
+    reps = prints.groupBy("fp").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "t")).alias("low"))
+    parts = connected_components(links(reps.select("fp"), radius))
+    low = reps.join(parts, reps["fp"] == parts["node"], "left").select("low", F.coalesce("component", "fp").alias("part"))
+    stay, _ = materialise(low.groupBy("part").agg(F.min("low").alias("low")).select(F.col("low.k_id").alias("id_"), F.col("low.t").alias("t_")))
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["id_"]) & (_hash(text_col) == stay["t_"]), "left_semi")
+    twice = prints.groupBy(F.col("k_id").alias("twice_"), F.col("t").alias("t2_")).count().where("count > 1")
+    twice, _ = materialise(twice.select("twice_", "t2_"))
     if twice.isEmpty():
         return kept
-    again = kept[id_col] == twice["twice_"]
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates())
+    again = kept[id_col].eqNullSafe(twice["twice_"]) & (_hash(text_col) == twice["t2_"])
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
