@@ -59,3 +59,40 @@ def test_merge_is_the_sketch_of_the_whole(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(sketches.sketch(F.col("a")).alias("a"), sketches.sketch(F.col("b")).alias("b"))
     r = df.select(sketches.merged(F.col("a"), F.col("b")).alias("m"), sketches.containment(F.col("b"), sketches.merged(F.col("a"), F.col("b"))).alias("c"), "a", "b").first()
     assert r.m == sorted(x for x in {*r.a, *r.b} if 0 <= x < 1 << 61) and r.c > 0
+
+
+def test_short_texts_merge_to_the_sketch_of_their_shingles(spark):
+    # few shingles, most above the threshold on both sides: the unsigned smallest counts
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)], size=int(n))) for n in rng.integers(0, 12, size=120)]
+    pairs = list(zip(texts[::2], texts[1::2]))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", sketches.merged(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("m")).collect()
+
+    def every(text):  # all shingle hashes, unsigned
+        words = text.split()
+        chain = lambda hs: __import__("functools").reduce(lambda seed, h: xxhash.xxh64_intdigest(struct.pack("<Q", h), seed), hs, 42)
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        return {chain(h[i : i + 5]) for i in range(len(h) - 4)} if len(h) >= 5 else {chain(h)} if h else set()
+
+    high = 0
+    for r in got:
+        union = every(r.a) | every(r.b)
+        below = {x for x in union if x < 1 << 61}
+        want = below or ({min(union)} if union else set())
+        high += not below
+        assert {x % (1 << 64) for x in r.m} == want
+    assert high > 10
+
+
+def test_skewed_ids_spread(spark, monkeypatch):
+    # a third of the rows have one id, a third none, and one id lies far off
+    monkeypatch.setattr(sketches, "RANGE", 20)
+    rows = [(7, f"text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(400)] + [(1000 + i, f"own {i}") for i in range(400)] + [(2**62, "far")]
+    df = spark.createDataFrame(rows, "k_id long, k_text string").withColumn("h", F.xxhash64("k_text"))
+    bucket, n = sketches._buckets(df.select("k_id", "h"))
+    sizes = df.withColumn("bucket", bucket).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 60 and all(0 <= r.bucket < n for r in sizes)
+    order = df.withColumn("bucket", bucket).collect()
+    order = sorted(order, key=lambda r: (r.k_id is not None, r.k_id or 0, r.h))
+    assert [r.bucket for r in order] == sorted(r.bucket for r in order)

@@ -8,6 +8,7 @@ a large one holds estimates how much of the small text is contained in it.
 Only DataFrame functions are used. The successor of each document in id order is found by
 windows over ranges of ids: each range is one window, and a row that stands for the first
 document of the next range closes it, so that no window spans all rows and texts are shuffled once.
+Ranges follow the quantiles of the ids, so that outlying or clustered ids spread alike.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from trackmill.sources.tables import table
 SHINGLE = 5
 #: A hash is kept if its upper BITS bits are zero: one in eight.
 BITS = 3
-#: Documents in one range of ids; ranges in one window.
-RANGE, RANGES = 500, 2000
+#: Documents in one range of ids; ranges in one window; quantiles of the ids, between which ranges are equally wide.
+RANGE, RANGES, QUANTILES = 500, 2000, 256
 
 
 def bound(value: Column, body) -> Column:
@@ -30,6 +31,12 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _smallest(hashes: Column) -> Column:
+    """The unsigned smallest as an array; an empty one if there is none."""
+    flip = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.size(hashes) > 0, F.array(flip(F.array_min(F.transform(hashes, flip))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def sketch(text: Column, shingle: int = SHINGLE, bits: int = BITS) -> Column:
     """Sorted array<long> of a text's kept shingle hashes. Words are what white space separates,
     A-Z lower-cased; a text of fewer words than a shingle is one shingle; one without words, or
@@ -41,10 +48,7 @@ def sketch(text: Column, shingle: int = SHINGLE, bits: int = BITS) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - shingle), one)
         return F.when(F.size(h) >= shingle, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    # unsigned order: the sign bit is flipped before the smallest is taken
-    flip = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))
-    small = lambda s: F.when(F.size(s) > 0, F.array(flip(F.array_min(F.transform(s, flip))))).otherwise(F.array().cast("array<bigint>"))
-    kept = lambda s: F.array_sort(F.array_union(F.filter(s, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0), small(s)))
+    kept = lambda s: F.array_sort(F.array_union(F.filter(s, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0), _smallest(s)))
     return bound(bound(F.transform(words, lambda w: F.xxhash64(w)), shingles), kept)
 
 
@@ -52,7 +56,7 @@ def merged(a: Column, b: Column, bits: int = BITS) -> Column:
     """The sketch of two texts' shingles together."""
     both = F.array_sort(F.array_union(a, b))
     below = F.filter(both, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
-    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+    return F.when(F.size(below) > 0, below).otherwise(_smallest(both))
 
 
 def containment(small: Column, large: Column) -> Column:
@@ -79,23 +83,55 @@ def _following(firsts: DataFrame, n: int) -> DataFrame:
     return near.join(up.select(F.col("bucket").alias("up_"), "next_"), F.col("part_") == F.col("up_")).select("bucket", F.coalesce("near_", "next_").alias("next_"))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """rows (k_id, k_text, fp) with next_text, next_fp of the next row by ascending id, the first's for the last."""
+def _buckets(rows: DataFrame) -> tuple[Column, int]:
+    """The range of each row of (k_id, h), in the order of (k_id, h) with nulls first, and how many
+    ranges there are. What the driver gets is QUANTILES ids and two counts."""
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("k_id").isNull())).first()
+    parts = lambda rows: max(1, -(-rows // RANGE))
+    spread = lambda many: F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * many), F.lit(many - 1)).cast("long")
+    if n == nulls:
+        return spread(parts(n)), parts(n)
+    q = rows.where(F.col("k_id").isNotNull()).select(F.col("k_id").cast("double").alias("q")).approxQuantile("q", [i / QUANTILES for i in range(QUANTILES)], 0.25 / QUANTILES)
+    within, at = parts((n - nulls) // QUANTILES), parts(nulls)
+    lows, hot, first = [], [], []  # ranges of one id, which hashes divide, and those up to the next quantile
+    for x in sorted(set(q)):
+        many = q.count(x)
+        for one in ([True, False] if many > 1 else [False]):
+            lows.append(max(min(int(x), (1 << 63) - 1), -(1 << 63)))
+            hot.append(many if one else 0)
+            first.append(at)
+            at += many * within if one else within
+    array = lambda x: F.array(*[F.lit(y) for y in x])
+    after = [y for y in lows[1:]] + [lows[-1] + 1]
+    low, high, many, base = array(lows), array([min(max(y, x + 1), (1 << 63) - 1) for x, y in zip(lows, after)]), array(hot), array(first)
+    i = F.greatest(F.lit(1), F.size(F.filter(low, lambda x: x <= F.col("k_id"))))
+    i = F.when((i > 1) & (F.get(many, i - 2) > 0) & (F.get(low, i - 2) == F.col("k_id")), i - 2).otherwise(i - 1)
+
+    def bucket(i: Column) -> Column:
+        width = F.get(high, i).cast("double") - F.get(low, i).cast("double")
+        share = (F.col("k_id").cast("double") - F.get(low, i).cast("double")) / width
+        inside = F.greatest(F.lit(0), F.least(F.lit(within - 1), F.floor(share * within))).cast("long")
+        by_hash = F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * F.get(many, i) * within), F.get(many, i) * within - 1).cast("long")
+        return F.get(base, i) + F.when(F.get(many, i) > 0, by_hash).otherwise(inside)
+
+    return F.when(F.col("k_id").isNull(), spread(parts(nulls))).otherwise(bound(i, bucket)).cast("long"), at
+
+
+def with_next(rows: DataFrame, fp: Column) -> DataFrame:
+    """rows (k_id, k_text) with fp, which is computed once a row, and next_text, next_fp of the next
+    row by ascending id, the first's for the last."""
     rows = rows.withColumn("h", F.xxhash64("k_text"))
-    one = rows.agg(F.count("*").alias("n"), F.min("k_id").alias("low"), F.max("k_id").alias("high")).first()
-    low, span = one["low"] or 0, (one["high"] or 0) - (one["low"] or 0) + 1
-    width = min(1 << 62, max(1, span * RANGE // max(1, one["n"])))
     # null ids come first, in order of their texts' hashes; ids of equal value in that order too
-    spread = F.shiftright("h", 56) + 128 - 256
-    rows = rows.withColumn("bucket", F.when(F.col("k_id").isNull(), spread).otherwise(F.floor((F.col("k_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))).cast("long"))
+    bucket, n = _buckets(rows.select("k_id", "h"))
+    rows = rows.withColumn("bucket", bucket)
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("k_id", "h")).alias("key"))
-    ends = _following(firsts, span // width + 257)
+    ends = _following(firsts, n)
     ends = ends.select(F.col("bucket").alias("end_"), F.coalesce("next_.k_id", F.lit(0)).alias("e_id"), F.col("next_.k_id").isNull().alias("e_null"), F.col("next_.h").alias("e_h"))
     # the text that closes each range: as many rows as ranges
-    starts = rows.join(F.broadcast(firsts) if one["n"] // RANGE < 10_000 else firsts, rows["k_id"].eqNullSafe(firsts["key.k_id"]) & (rows["h"] == firsts["key.h"]), "left_semi").dropDuplicates(["k_id", "h"])
+    starts = rows.join(F.broadcast(firsts) if n < 10_000 else firsts, rows["k_id"].eqNullSafe(firsts["key.k_id"]) & (rows["h"] == firsts["key.h"]), "left_semi").dropDuplicates(["k_id", "h"])
     closing = ends.join(starts, (F.coalesce("k_id", F.lit(0)) == F.col("e_id")) & (F.col("k_id").isNull() == F.col("e_null")) & (F.col("h") == F.col("e_h")))
-    closing = closing.select(F.col("end_").alias("bucket"), F.lit(1).alias("close"), F.lit(None).cast("long").alias("k_id"), F.lit(None).cast("long").alias("h"), "k_text", "fp")
-    all_rows = rows.select("bucket", F.lit(0).alias("close"), "k_id", "h", "k_text", "fp").unionByName(closing)
+    closing = closing.select(F.col("end_").alias("bucket"), F.lit(1).alias("close"), F.lit(None).cast("long").alias("k_id"), F.lit(None).cast("long").alias("h"), "k_text")
+    all_rows = rows.select("bucket", F.lit(0).alias("close"), "k_id", "h", "k_text").unionByName(closing).withColumn("fp", fp)
     w = Window.partitionBy("bucket").orderBy("close", "k_id", "h")
     return all_rows.withColumn("next_text", F.lead("k_text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).where("close = 0").select("k_id", "k_text", "fp", "next_text", "next_fp")
 
@@ -110,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows; a single document is its own next.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("k_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("k_text"))
-    rows = with_next(rows.withColumn("fp", sketch(F.col("k_text"), shingle, bits)))
+    rows = with_next(rows, sketch(F.col("k_text"), shingle, bits))
     n = F.length("k_text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("k_text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
