@@ -48,3 +48,30 @@ def test_hadamard_keeps_length():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(neighbours.hadamard(neighbours.hadamard(x)), x)
+
+
+def test_hot_codes_are_cut_on_both_sides(spark, monkeypatch):
+    # half of the rows lie in one small cluster, and so do most queries
+    monkeypatch.setattr(neighbours, "SLAB", 50)
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    x = np.concatenate((one + 0.01 * rng.normal(size=(400, 16)), rng.normal(size=(400, 16))))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id < 120 OR vec_id % 50 = 0")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest_neighbours(df, asked).collect()}
+    want = {(q, i) for q, _, i, _ in brute(rows, [r for r in rows if r[0] < 120 or r[0] % 50 == 0], 10)}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_codes_grow_with_the_rows_and_queries_meet_a_smaller_share():
+    assert [neighbours.code_bits(n) for n in (0, 1, 2000, 10_000, 50_000, 10**9)] == [7, 7, 12, 13, 14, 20]
+    assert neighbours.axes(64, 12) == [64, 16] and neighbours.axes(64, 14) == [64, 64] and neighbours.axes(64, 15) == [64, 64, 1]
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (1000, 8000):
+        x = rng.normal(size=(n, 64))
+        own = neighbours.codes(x, 6, neighbours.code_bits(n), 1)[:, :, 0]
+        asked = neighbours.codes(x[:20], 6, neighbours.code_bits(n), neighbours.PROBES)
+        shares.append(np.mean([(own[:, t, None] == asked[i, t]).any(axis=1).mean() for i in range(20) for t in range(6)]))
+    assert shares[1] < 0.7 * shares[0]

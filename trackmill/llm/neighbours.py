@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table applies `rotations` fast pseudo-rotations (three rounds of random signs and a Hadamard
-transform) to the unit vector; each one's hash is the signed axis nearest to the image, that
-is, the coordinate of largest magnitude with its sign. A query probes the `probes` best codes
-of each table. Rows that share a code with a query are ranked exactly, on the original vectors
-in double precision.
-
-Spark deals (table, code) groups to tasks. A group's index rows are cut into slabs of about
-SLAB rows and its queries are sent to each slab, so that a hot code is shared by many tasks and
-memory is bounded by a slab's queries. Of equal vectors only as many as can appear in a result
-are indexed, which loses nothing. Queries that found fewer rows than they ask for are run
+A table applies fast pseudo-rotations (three rounds of random signs and a Hadamard transform) to
+the unit vector; each one's hash is the signed axis nearest to the image, that is, the coordinate
+of largest magnitude with its sign. The last of a table's rotations keeps only as many axes as
+the number of codes asks for, which grows with the rows (`code_bits`), so that a query meets a
+share of the rows that falls with their number. A query probes the `probes` best codes of each
+table. Rows that share a code with a query are ranked exactly, on the original vectors in double
+precision.
+
+Spark deals (table, code) groups to tasks. A group's index rows and its queries are cut into slabs
+of about SLAB rows, and each slab of the one meets each of the other, so that a hot code is
+shared by many tasks and memory is bounded. Of equal vectors only as many as can appear in a
+result are indexed, which loses nothing. Queries that found fewer rows than they ask for are run
 against all rows, in slabs.
 """
 
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 
 from trackmill.sources.tables import materialise, table
 
-K, EVERY, TABLES, PROBES, ROTATIONS, SEED, SLAB = 10, 100, 14, 12, 1, 7, 4096
-#: Distances that one task computes at a time.
-BLOCK = 1 << 21
+K, EVERY, TABLES, PROBES, SEED, SLAB = 10, 100, 24, 48, 7, 4096
+#: Bits of a code for so many rows, and more for each doubling.
+BITS, ROWS, MORE = 12, 2000, 0.43
+#: Pairs of a query and a row that one task measures at a time.
+BLOCK = 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,34 +52,51 @@ def _width(dim: int) -> int:
     return 1 << max(0, dim - 1).bit_length()
 
 
-def _axes(unit: np.ndarray, signs: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
+def code_bits(rows: int) -> int:
+    """Bits of the codes for an index of so many rows."""
+    return max(1, round(BITS + MORE * np.log2(max(rows, 1) / ROWS)))
+
+
+def axes(dim: int, bits: int) -> list[int]:
+    """How many axes each of a table's rotations keeps, for codes of so many bits."""
+    width = _width(dim)
+    full = width.bit_length()  # of an axis and its sign
+    return [width] * ((bits - 1) // full) + [1 << ((bits - 1) % full)]
+
+
+def _nearest_axes(unit: np.ndarray, signs: np.ndarray, keep: int, best: int) -> tuple[np.ndarray, np.ndarray]:
     """The `best` signed axes nearest to each row's pseudo-rotation, nearest first, and their
     squared distances beyond the nearest one's."""
     x = unit
     for s in signs:
         x = hadamard(x * s)
-    both = np.concatenate((x, -x), axis=1)  # code: axis, or width + axis if negative
+    both = np.concatenate((x[:, :keep], -x[:, :keep]), axis=1)  # code: axis, or keep + axis if negative
     best = min(best, both.shape[1])
-    order = np.argsort(-both, axis=1, kind="stable")[:, :best]
+    if best == 1:
+        order = both.argmax(axis=1)[:, None]
+    else:
+        order = np.argsort(-both, axis=1, kind="stable")[:, :best]
     value = np.take_along_axis(both, order, axis=1)
     return order, 2 * (value[:, :1] - value)
 
 
-def codes(vectors: np.ndarray, tables: int, rotations: int, probes: int, seed: int = SEED) -> np.ndarray:
+def codes(vectors: np.ndarray, tables: int, bits: int, probes: int, seed: int = SEED) -> np.ndarray:
     """(rows, tables, probes): codes of each row in each table, the best first; -1 fills up."""
     n, dim = vectors.shape
     width = _width(dim)
     unit = np.zeros((n, width))
     unit[:, :dim] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     out = np.full((n, tables, probes), -1, dtype=np.int64)
-    for t, signs in enumerate(_signs(width, tables, rotations, seed)):
+    kept = axes(dim, bits)
+    for t, signs in enumerate(_signs(width, tables, len(kept), seed)):
         code, cost = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1))
-        for one in signs:
-            order, extra = _axes(unit, one, probes)
-            code = (code[:, :, None] * (2 * width) + order[:, None, :]).reshape(n, -1)
+        for one, keep in zip(signs, kept):
+            order, extra = _nearest_axes(unit, one, keep, probes)
+            code = (code[:, :, None] * (2 * keep) + order[:, None, :]).reshape(n, -1)
             cost = (cost[:, :, None] + extra[:, None, :]).reshape(n, -1)
-            keep = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-            code, cost = np.take_along_axis(code, keep, axis=1), np.take_along_axis(cost, keep, axis=1)
+            if cost.shape[1] > 1:
+                least = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+                code, cost = np.take_along_axis(code, least, axis=1), np.take_along_axis(cost, least, axis=1)
         out[:, t, : code.shape[1]] = code
     return out
 
@@ -85,51 +106,47 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def _nearest(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
-    """For each query row the k nearest rows of x but its own, by exact distance and then id."""
-    out = []
-    xs, ids = _stack(x["v"]), x["id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    xs, ids = xs[order], ids[order]
-    qs, own = _stack(q["v"]), q["id"].to_numpy()
-    square = (xs**2).sum(axis=1)
-    step = max(1, BLOCK // len(xs))
-    for i in range(0, len(qs), step):
-        part = qs[i : i + step]
-        # a fast bound by the dot product first; the few rows near the k-th best are then measured exactly
-        rough = square[None, :] - 2 * (part @ xs.T) + (part**2).sum(axis=1)[:, None]
-        rough[ids[None, :] == own[i : i + step, None]] = np.inf
-        m = min(k, len(xs))
-        slack = 1e-9 * (1 + square.max() + (part**2).sum(axis=1))
-        limit = np.partition(rough, m - 1, axis=1)[:, m - 1] + slack
-        a, b = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-        exact = np.sqrt(((part[a] - xs[b]) ** 2).sum(axis=1))
-        found = pd.DataFrame({"query_id": own[i + a], "vec_id": ids[b], "score": exact})
-        out.append(found.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    """For each query the k nearest of the rows that share a group (column n) with it but its own,
+    by exact distance and then id. Both are sorted by group."""
+    xn, qn = x["n"].to_numpy(), q["n"].to_numpy()
+    lo, hi = np.searchsorted(xn, qn), np.searchsorted(xn, qn, side="right")
+    met = lo < hi
+    q, lo, hi = q[met], lo[met], hi[met]
+    best = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+    if not len(q):
+        return best
+    qs, xs, own, ids = _stack(q["v"]), _stack(x["v"]), q["id"].to_numpy(), x["id"].to_numpy()
+    many = np.cumsum(hi - lo)
+    at = 0
+    while at < many[-1]:
+        to = min(at + BLOCK, int(many[-1]))
+        pair = np.arange(at, to)
+        a = np.searchsorted(many, pair, side="right")
+        b = lo[a] + pair - (many[a] - (hi - lo)[a])
+        other = own[a] != ids[b]
+        a, b = a[other], b[other]
+        found = pd.DataFrame({"query_id": own[a], "vec_id": ids[b], "score": np.sqrt(((qs[a] - xs[b]) ** 2).sum(axis=1))})
+        best = pd.concat([best, found]).sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
+        at = to
+    return best
 
 
 def _rank_groups(k: int):
-    """mapInPandas over rows (g, s, index, id, v) sorted by group, its queries first. Only a
-    group's queries and one batch of rows are in memory."""
+    """mapInPandas over rows (g, s, r, index, id, v) sorted by group, its queries first. Only the
+    queries of a batch's groups and one batch of rows are in memory."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, asked = None, None
+        asked = None  # the queries of the group that may go on
         for b in batches:
-            change = (b["g"].ne(b["g"].shift()) | b["s"].ne(b["s"].shift())).to_numpy()
-            start = np.flatnonzero(change | (np.arange(len(b)) == 0))
-            found = []
-            for lo, hi in zip(start, [*start[1:], len(b)]):
-                part = b.iloc[lo:hi]
-                now = (part["g"].iloc[0], part["s"].iloc[0])
-                if now != key:
-                    key, asked = now, None
-                q, x = part[~part["index"]], part[part["index"]]
-                if len(q):
-                    asked = q if asked is None else pd.concat([asked, q])
-                if asked is not None and len(x):
-                    found.append(_nearest(asked, x, k))
-            if found:
-                yield pd.concat(found)
+            if asked is not None:
+                b = pd.concat([asked, b], ignore_index=True)
+            if not len(b):
+                continue
+            key = b[["g", "s", "r"]].to_numpy()
+            b = b.assign(n=np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(axis=1)]))
+            for _, one in b.groupby(b["v"].map(len)):  # a group's vectors are of one length
+                yield _nearest(one[~one["index"]], one[one["index"]], k)
+            asked = b[(b["n"] == b["n"].iloc[-1]) & ~b["index"]].drop(columns="n")
 
     return run
 
@@ -141,14 +158,17 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v double[]): without null ids and vectors, zero vectors, and null or non-finite components."""
-    v = F.col(vec_col).cast("array<double>")
+    """(id, v): without null ids and vectors, zero vectors, and null or non-finite components. v is
+    float[] as it came, which halves what moves, else double[]."""
+    v = F.col(vec_col)
+    if df.schema[vec_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     return rows.where(fine & F.exists("v", lambda x: x != 0))
 
 
-def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, rotations: int = ROTATIONS) -> DataFrame:
+def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, bits: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of df found, nearest first.
 
     score is the Euclidean distance in double precision on the vectors as given; ties go to the
@@ -158,7 +178,8 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: st
     count once, by the nearest of its vectors. Other columns are ignored; an empty table gives
     no rows. Fewer than k candidates: all of them.
 
-    rotations > 1 makes codes finer, for tables of many millions of rows; raise probes with it.
+    bits is the length of the codes, by default code_bits of the number of rows: more make a query
+    meet fewer rows, and want more tables or probes.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col).distinct()
@@ -166,13 +187,14 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: st
     w = Window.partitionBy("v").orderBy("id")
     index, _ = materialise(rows.withColumn("n", F.dense_rank().over(w)).where(F.col("n") <= k + 1).drop("n"))
     asked, _ = materialise(usable(queries, id_col, vec_col).distinct())
+    bits = bits or code_bits(index.count())
 
     def hashed(is_index: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 size = b["v"].map(len)
                 for dim, part in b.groupby(size):
-                    code = codes(_stack(part["v"]), tables, rotations, 1 if is_index else probes)
+                    code = codes(_stack(part["v"]), tables, bits, 1 if is_index else probes)
                     row, t, _ = np.nonzero(code >= 0)
                     # a group is named by the vectors' length, the table and the code
                     g = (code[code >= 0] * tables + t) * 65537 + dim
@@ -180,21 +202,28 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: st
 
         return run
 
-    coded = index.mapInPandas(hashed(True), "g long, id long, v array<double>")
-    probe = asked.mapInPandas(hashed(False), "g long, id long, v array<double>")
-    # slabs of the groups that are larger than one; counts are combined before the shuffle
-    large = coded.groupBy("g").count().where(F.col("count") > SLAB).select(F.col("g").alias("g_"), F.ceil(F.col("count") / SLAB).cast("int").alias("slabs"))
-    large, _ = materialise(large)
-
-    def pairs(coded: DataFrame, probe: DataFrame, large: DataFrame) -> DataFrame:
-        slabs = F.coalesce("slabs", F.lit(1))
-        x = coded.join(large, coded["g"] == large["g_"], "left").select("g", F.pmod(F.xxhash64("id"), slabs).cast("int").alias("s"), F.lit(True).alias("index"), "id", "v")
-        q = probe.join(large, probe["g"] == large["g_"], "left").select("g", F.explode(F.sequence(F.lit(0), slabs - 1)).alias("s"), F.lit(False).alias("index"), "id", "v")
+    kind = index.schema["v"].dataType.simpleString()
+    coded = index.mapInPandas(hashed(True), f"g long, id long, v {kind}")
+    probe = asked.mapInPandas(hashed(False), f"g long, id long, v {kind}")
+
+    def slabs_of(rows: DataFrame, name: str) -> DataFrame:
+        """Slabs of the groups that are larger than one; counts are combined before the shuffle."""
+        large = rows.groupBy("g").count().where(F.col("count") > SLAB).select(F.col("g").alias(f"{name}_g"), F.ceil(F.col("count") / SLAB).cast("int").alias(name))
+        return materialise(large)[0]
+
+    def pairs(coded: DataFrame, probe: DataFrame) -> DataFrame:
+        rows_in, asked_in = slabs_of(coded, "slabs"), slabs_of(probe, "parts")
+        slabs, parts = F.coalesce("slabs", F.lit(1)), F.coalesce("parts", F.lit(1))
+        both = lambda x: x.join(rows_in, x["g"] == rows_in["slabs_g"], "left").join(asked_in, x["g"] == asked_in["parts_g"], "left")
+        own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        x = both(coded).select("g", own(slabs).alias("s"), each(parts).alias("r"), F.lit(True).alias("index"), "id", "v")
+        q = both(probe).select("g", each(slabs).alias("s"), own(parts).alias("r"), F.lit(False).alias("index"), "id", "v")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        both = x.unionByName(q).repartition(n, "g", "s").sortWithinPartitions("g", "s", "index", "id")
-        return both.mapInPandas(_rank_groups(k), "query_id long, vec_id long, score double")
+        dealt = x.unionByName(q).repartition(n, "g", "s", "r").sortWithinPartitions("g", "s", "r", "index", "id")
+        return dealt.mapInPandas(_rank_groups(k), "query_id long, vec_id long, score double")
 
-    found, _ = materialise(_best(pairs(coded, probe, large), k).select("query_id", "vec_id", "score"))
+    found, _ = materialise(_best(pairs(coded, probe), k).select("query_id", "vec_id", "score"))
     # queries with too few rows found: against all rows of their length, in slabs
     enough = found.groupBy("query_id").count().where(F.col("count") >= k)
     few, _ = materialise(asked.join(enough, asked["id"] == enough["query_id"], "left_anti"))
@@ -202,8 +231,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: st
         more = found.limit(0)
     else:
         by_size = lambda x: x.select(F.size("v").cast("long").alias("g"), "id", "v")
-        sizes = by_size(index).groupBy("g").count().where(F.col("count") > SLAB).select(F.col("g").alias("g_"), F.ceil(F.col("count") / SLAB).cast("int").alias("slabs"))
-        more = pairs(by_size(index), by_size(few), sizes)
+        more = pairs(by_size(index), by_size(few))
     best = _best(found.unionByName(more), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
