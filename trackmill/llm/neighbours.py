@@ -17,10 +17,11 @@ against all rows, in slabs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ from trackmill.sources.tables import materialise, table
 K, EVERY, TABLES, PROBES, SEED, SLAB = 10, 100, 24, 48, 7, 4096
 #: Bits of a code for so many rows, and more for each doubling.
 BITS, ROWS, MORE = 12, 2000, 0.43
-#: Pairs of a query and a row that one task measures at a time.
-BLOCK = 1 << 16
+#: Pairs of a query and a row that one task measures, and found ones that it holds, at a time; rows it hashes at a time.
+BLOCK, FOUND, PART = 1 << 15, 1 << 19, 2000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -64,18 +65,27 @@ def axes(dim: int, bits: int) -> list[int]:
     return [width] * ((bits - 1) // full) + [1 << ((bits - 1) % full)]
 
 
-def _nearest_axes(unit: np.ndarray, signs: np.ndarray, keep: int, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `best` signed axes nearest to each row's pseudo-rotation, nearest first, and their
-    squared distances beyond the nearest one's."""
-    x = unit
-    for s in signs:
-        x = hadamard(x * s)
-    both = np.concatenate((x[:, :keep], -x[:, :keep]), axis=1)  # code: axis, or keep + axis if negative
-    best = min(best, both.shape[1])
+@functools.cache
+def _rotations(width: int, tables: int, rotations: int, seed: int) -> np.ndarray:
+    """The pseudo-rotations as matrices (tables, rotations, width, width), to be applied to many rows at once."""
+    out = np.empty((tables, rotations, width, width))
+    for at, signs in zip(out.reshape(-1, width, width), _signs(width, tables, rotations, seed).reshape(-1, 3, width)):
+        x = np.eye(width)
+        for s in signs:
+            x = hadamard(x * s)
+        at[:] = x
+    return out
+
+
+def _nearest_axes(image: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `best` signed axes nearest to each row, nearest first, and their squared distances
+    beyond the nearest one's. A code is an axis, or as many as there are axes more if negative."""
     if best == 1:
-        order = both.argmax(axis=1)[:, None]
-    else:
-        order = np.argsort(-both, axis=1, kind="stable")[:, :best]
+        axis = np.abs(image).argmax(axis=1)
+        order = axis + image.shape[1] * (np.take_along_axis(image, axis[:, None], axis=1)[:, 0] < 0)
+        return order[:, None], np.zeros((len(image), 1))
+    both = np.concatenate((image, -image), axis=1)
+    order = np.argsort(-both, axis=1, kind="stable")[:, : min(best, both.shape[1])]
     value = np.take_along_axis(both, order, axis=1)
     return order, 2 * (value[:, :1] - value)
 
@@ -88,10 +98,10 @@ def codes(vectors: np.ndarray, tables: int, bits: int, probes: int, seed: int =
     unit[:, :dim] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     out = np.full((n, tables, probes), -1, dtype=np.int64)
     kept = axes(dim, bits)
-    for t, signs in enumerate(_signs(width, tables, len(kept), seed)):
+    for t, turns in enumerate(_rotations(width, tables, len(kept), seed)):
         code, cost = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1))
-        for one, keep in zip(signs, kept):
-            order, extra = _nearest_axes(unit, one, keep, probes)
+        for turn, keep in zip(turns, kept):
+            order, extra = _nearest_axes(unit @ turn[:, :keep], probes)
             code = (code[:, :, None] * (2 * keep) + order[:, None, :]).reshape(n, -1)
             cost = (cost[:, :, None] + extra[:, None, :]).reshape(n, -1)
             if cost.shape[1] > 1:
@@ -101,52 +111,66 @@ def codes(vectors: np.ndarray, tables: int, bits: int, probes: int, seed: int =
     return out
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def _nearest(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
-    """For each query the k nearest of the rows that share a group (column n) with it but its own,
-    by exact distance and then id. Both are sorted by group."""
-    xn, qn = x["n"].to_numpy(), q["n"].to_numpy()
-    lo, hi = np.searchsorted(xn, qn), np.searchsorted(xn, qn, side="right")
-    met = lo < hi
-    q, lo, hi = q[met], lo[met], hi[met]
-    best = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
-    if not len(q):
-        return best
-    qs, xs, own, ids = _stack(q["v"]), _stack(x["v"]), q["id"].to_numpy(), x["id"].to_numpy()
-    many = np.cumsum(hi - lo)
-    at = 0
-    while at < many[-1]:
-        to = min(at + BLOCK, int(many[-1]))
-        pair = np.arange(at, to)
+def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors as double rows) of the vectors of each length."""
+    size = vectors.value_lengths().to_numpy()
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        yield at, vectors.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(len(at), dim)
+
+
+def _least(own: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each owner's found rows, each once, the k nearest, ties to the smaller id."""
+    order = np.lexsort((ids, score, own))
+    own, ids, score = own[order], ids[order], score[order]
+    new = np.r_[True, (own[1:] != own[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])][: len(own)]
+    own, ids, score = own[new], ids[new], score[new]
+    keep = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[keep], ids[keep], score[keep]
+
+
+def _nearest(qn: np.ndarray, own: np.ndarray, qs: np.ndarray, xn: np.ndarray, ids: np.ndarray, xs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance): for each query the k nearest of the rows of its groups but its own,
+    by exact distance and then id. qn and xn are the groups, in ascending order."""
+    lo = np.searchsorted(xn, qn)
+    size = np.searchsorted(xn, qn, side="right") - lo
+    many = np.cumsum(size)
+    found = [(own[:0], ids[:0], np.array([], float))]
+    held = at = 0
+    while len(many) and at < many[-1]:
+        pair = np.arange(at, min(at + BLOCK, int(many[-1])))
         a = np.searchsorted(many, pair, side="right")
-        b = lo[a] + pair - (many[a] - (hi - lo)[a])
+        b = lo[a] + pair - (many[a] - size[a])
         other = own[a] != ids[b]
         a, b = a[other], b[other]
-        found = pd.DataFrame({"query_id": own[a], "vec_id": ids[b], "score": np.sqrt(((qs[a] - xs[b]) ** 2).sum(axis=1))})
-        best = pd.concat([best, found]).sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
-        at = to
-    return best
+        found.append((own[a], ids[b], np.sqrt(((qs[a] - xs[b]) ** 2).sum(axis=1))))
+        held += len(a)
+        at += BLOCK
+        if held > FOUND:
+            found = [_least(*map(np.concatenate, zip(*found)), k)]
+            held = len(found[0][0])
+    return _least(*map(np.concatenate, zip(*found)), k)
 
 
 def _rank_groups(k: int):
-    """mapInPandas over rows (g, s, r, index, id, v) sorted by group, its queries first. Only the
+    """mapInArrow over rows (g, s, r, index, id, v) sorted by group, its queries first. Only the
     queries of a batch's groups and one batch of rows are in memory."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = None  # the queries of the group that may go on
         for b in batches:
             if asked is not None:
-                b = pd.concat([asked, b], ignore_index=True)
-            if not len(b):
+                b = pa.Table.from_batches([asked, b]).combine_chunks().to_batches()[0]
+            if not b.num_rows:
                 continue
-            key = b[["g", "s", "r"]].to_numpy()
-            b = b.assign(n=np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(axis=1)]))
-            for _, one in b.groupby(b["v"].map(len)):  # a group's vectors are of one length
-                yield _nearest(one[~one["index"]], one[one["index"]], k)
-            asked = b[(b["n"] == b["n"].iloc[-1]) & ~b["index"]].drop(columns="n")
+            key = np.stack([b[c].to_numpy() for c in ("g", "s", "r")])
+            group = np.cumsum(np.r_[0, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            index, ids = b["index"].to_numpy(zero_copy_only=False), b["id"].to_numpy()
+            for at, v in _by_length(b["v"]):  # a group's vectors are of one length
+                x, n, i = index[at], group[at], ids[at]
+                own, vec, score = _nearest(n[~x], i[~x], v[~x], n[x], i[x], v[x], k)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+            asked = b.take(pa.array(np.flatnonzero((group == group[-1]) & ~index)))
 
     return run
 
@@ -190,21 +214,24 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: st
     bits = bits or code_bits(index.count())
 
     def hashed(is_index: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                size = b["v"].map(len)
-                for dim, part in b.groupby(size):
-                    code = codes(_stack(part["v"]), tables, bits, 1 if is_index else probes)
-                    row, t, _ = np.nonzero(code >= 0)
-                    # a group is named by the vectors' length, the table and the code
-                    g = (code[code >= 0] * tables + t) * 65537 + dim
-                    yield pd.DataFrame({"g": g, "id": part["id"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, PART):
+                    b = whole.slice(lo, PART)
+                    for at, v in _by_length(b["v"]):
+                        code = codes(v, tables, bits, 1 if is_index else probes)
+                        for t in range(tables):
+                            row, _ = np.nonzero(code[:, t] >= 0)
+                            # a group is named by the vectors' length, the table and the code
+                            g = (code[:, t][code[:, t] >= 0] * tables + t) * 65537 + v.shape[1]
+                            place = pa.array(at[row])
+                            yield pa.RecordBatch.from_arrays([pa.array(g), b["id"].take(place), b["v"].take(place)], ["g", "id", "v"])
 
         return run
 
     kind = index.schema["v"].dataType.simpleString()
-    coded = index.mapInPandas(hashed(True), f"g long, id long, v {kind}")
-    probe = asked.mapInPandas(hashed(False), f"g long, id long, v {kind}")
+    coded = index.mapInArrow(hashed(True), f"g long, id long, v {kind}")
+    probe = asked.mapInArrow(hashed(False), f"g long, id long, v {kind}")
 
     def slabs_of(rows: DataFrame, name: str) -> DataFrame:
         """Slabs of the groups that are larger than one; counts are combined before the shuffle."""
@@ -221,7 +248,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: st
         q = both(probe).select("g", each(slabs).alias("s"), own(parts).alias("r"), F.lit(False).alias("index"), "id", "v")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = x.unionByName(q).repartition(n, "g", "s", "r").sortWithinPartitions("g", "s", "r", "index", "id")
-        return dealt.mapInPandas(_rank_groups(k), "query_id long, vec_id long, score double")
+        return dealt.mapInArrow(_rank_groups(k), "query_id long, vec_id long, score double")
 
     found, _ = materialise(_best(pairs(coded, probe), k).select("query_id", "vec_id", "score"))
     # queries with too few rows found: against all rows of their length, in slabs
