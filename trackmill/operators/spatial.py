@@ -78,7 +78,10 @@ def grid_associate(s: SparkSession, d: str) -> DataFrame:
     pick = ["camera", "slot", "id", "fx", "fy", "x1", "y1", "x2", "y2"]
     j = grid_join(rows.where("id % 2 = 0").select(pick), rows.where("id % 2 = 1").withColumn("camera", F.concat(F.lit("c0"), (F.col("id") % 4).cast("string"))).select(pick), "fx", "fy", 100.0, ["camera", "slot"])
     cx = lambda p: ((F.col(f"{p}x1") + F.col(f"{p}x2")) / 2, (F.col(f"{p}y1") + F.col(f"{p}y2")) / 2)
-    j = j.withColumn("iou", half_up(G.iou(box(), box("b_")))).withColumn("dist", half_up(G.distance(*cx(""), *cx("b_")))).where("NOT (iou < 0.1 AND dist > 96)")
+    dist = half_up(G.distance(*cx(""), *cx("b_")))
+    # far pairs need an overlap, which is cheap to tell; the ratio is only worked out for what is left
+    meets = (F.col("x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("x2")) & (F.col("y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("y2"))
+    j = j.withColumn("dist", dist).where((F.col("dist") <= 96) | meets).withColumn("iou", half_up(G.iou(box(), box("b_")))).where("iou >= 0.1 OR dist <= 96")
     best = j.groupBy("id").agg(F.min(F.struct((-F.col("iou")).alias("m"), "dist", "b_id")).alias("b"))
     return best.select("id", F.col("b.b_id").alias("track_id"), (-F.col("b.m")).alias("iou"), F.col("b.dist").alias("dist"))
 
