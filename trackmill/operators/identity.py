@@ -161,10 +161,10 @@ def dbscan_areas(s: SparkSession, d: str) -> DataFrame:
 
 
 def fit_homography(s: SparkSession, d: str) -> DataFrame:
-    """A homography for each camera from image and world points, by least squares: its largest error."""
+    """A homography for each camera from all its image and world points, by least squares."""
     from trackmill.operators.spatial import homographies, projected
 
-    p = projected(V.tracking_events(s, d).where("track < 30"), homographies(s), "x", "y").select("camera", "x", "y", "wx", "wy")
+    p = projected(V.tracking_events(s, d), homographies(s), "x", "y").select("camera", "x", "y", "wx", "wy")
 
     def sums(batches):
         """Normal equations of the direct linear transform, added up in each task."""
@@ -185,9 +185,7 @@ def fit_homography(s: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame([(key[0], *(h / h[2, 2]).ravel())], columns=["camera", *[f"f_{c}" for c in "abcdefghi"]])
 
     fit = p.mapInPandas(sums, "camera string, m array<double>").groupBy("camera").applyInPandas(solve, "camera string, " + ", ".join(f"f_{c} double" for c in "abcdefghi"))
-    j = p.join(F.broadcast(fit), "camera")
-    wx, wy = G.project([F.col(f"f_{c}") for c in "abcdefghi"], F.col("x"), F.col("y"))
-    return j.withColumn("err", G.distance(wx, wy, F.col("wx"), F.col("wy"))).groupBy("camera").agg(F.count("*").alias("n"), (F.max("err") < 1e-3).alias("exact"))
+    return p.groupBy("camera").agg(F.count("*").alias("n")).join(fit, "camera").select("camera", "n", *[(F.round(f"f_{c}", 6) + 0.0).alias(f"h_{c}") for c in "abcdefghi"])
 
 
 QUERIES = {f.__name__: f for f in (cross_camera_pairs, hungarian_match, matched_identities, buffer_match, conflict_resolve, shared_ids, registry_lookup, knn_handoff, dbscan_areas, fit_homography)}
@@ -201,5 +199,5 @@ SQL = {
     "shared_ids": f"WITH {E_} SELECT person, count(DISTINCT camera) AS cameras, count(DISTINCT (camera, track)) AS tracks FROM ev GROUP BY person HAVING count(DISTINCT camera) > 1",
     "registry_lookup": f"WITH {E_} SELECT id, CASE WHEN track % 3 <> 0 THEN 'P' || track END AS global_id FROM ev",
     "knn_handoff": f"WITH {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, g_id) AS rank FROM sim), f AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS k FROM r WHERE rank <= 5 AND q_id % 4 <> g_id % 4 AND abs(q_id - g_id) <= 400 AND sim >= 0.2::DOUBLE) SELECT q_id, g_id, round(sim, 6) AS sim, rank FROM f WHERE k = 1",
-    "fit_homography": f"WITH {E_} SELECT camera, count(*) AS n, true AS exact FROM ev WHERE track < 30 GROUP BY camera",
+    "fit_homography": f"WITH {E_}, h(camera, a, b, c, d, e, f, g, h, i) AS (VALUES {V.values(V.HOMOGRAPHIES)}) SELECT camera, count(*) AS n, " + ", ".join(f"round(any_value(h.{c}), 6) AS h_{c}" for c in "abcdefghi") + " FROM ev JOIN h USING (camera) GROUP BY camera",
 }

@@ -212,7 +212,7 @@ def data_gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def missing_days(s: SparkSession, d: str) -> DataFrame:
-    e = V.tracking_events(s, d).where("track < 40").select("person", F.floor(F.col("us") / V.DAY).alias("day"))
+    e = V.tracking_events(s, d).select("person", F.floor(F.col("us") / V.DAY).alias("day"))
     span = e.groupBy("person").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     return span.select("person", F.explode(F.sequence("a", "b")).alias("day")).join(e.distinct(), ["person", "day"], "left_anti")
 
@@ -285,7 +285,7 @@ SQL = {
     "corridors": f"WITH {_TRANS} SELECT from_camera, to_camera, count(*) AS n, round(avg(gap_s), 4) AS avg_gap_s FROM tr WHERE from_camera <> to_camera GROUP BY ALL",
     "zone_state": f"WITH {P_}, z AS (SELECT *, x < 50 AND y < 125 AS i, coalesce(lag(x < 50 AND y < 125) OVER (PARTITION BY person ORDER BY n), false) AS w FROM pt) SELECT person, id, CASE WHEN i AND NOT w THEN 'entry' WHEN i THEN 'in_zone' ELSE 'exit' END AS state FROM z WHERE i OR w",
     "data_gaps": f"WITH {E_}, g AS (SELECT camera, lag(us) OVER (PARTITION BY camera ORDER BY us, id) AS since, us FROM ev) SELECT camera, since, us AS until, round((us - since) / 3.6e9, 6) AS hours FROM g WHERE us - since > 21600000000",
-    "missing_days": f"WITH {E_}, e AS (SELECT DISTINCT person, us // 86400000000 AS day FROM ev WHERE track < 40), a AS (SELECT person, unnest(range(min(day), max(day) + 1)) AS day FROM e GROUP BY person) SELECT * FROM a ANTI JOIN e USING (person, day)",
+    "missing_days": f"WITH {E_}, e AS (SELECT DISTINCT person, us // 86400000000 AS day FROM ev), a AS (SELECT person, unnest(range(min(day), max(day) + 1)) AS day FROM e GROUP BY person) SELECT * FROM a ANTI JOIN e USING (person, day)",
     "available_ranges": f"WITH {E_} SELECT env, min(us) AS earliest, max(us) AS latest, count(DISTINCT session) AS days, count(*) > 0 AS has_data FROM ev GROUP BY env",
     "peak_bucket": f"WITH {E_}, h AS (SELECT camera, us // 3600000000 AS hour, count(*) AS n FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY n DESC, hour) AS k FROM h) SELECT camera, hour, n FROM r WHERE k = 1",
     "alerts_episodes": f"WITH {P_}, a AS (SELECT *, x >= 60 AS high, (x >= 60 AND NOT coalesce(lag(x >= 60) OVER (PARTITION BY person ORDER BY n), false))::BIGINT AS new FROM pt), e AS (SELECT *, sum(new) OVER (PARTITION BY person ORDER BY n)::BIGINT AS episode FROM a) SELECT person, episode, min(us) AS raised, count(*) FILTER (high) AS updates, min(us) FILTER (NOT high) AS cleared, max(x) AS worst, round((min(us) FILTER (NOT high) - min(us)) / 1e6, 6) AS seconds FROM e WHERE episode > 0 GROUP BY ALL",

@@ -128,8 +128,8 @@ def inverse_project(s: SparkSession, d: str) -> DataFrame:
 
 
 def project_to_others(s: SparkSession, d: str) -> DataFrame:
-    """Each world point of one person in the image of every other camera."""
-    p = projected(V.tracking_events(s, d).where("track < 10"), homographies(s), "x", "y").select("id", F.col("camera").alias("own"), "wx", "wy")
+    """Each world point in the image of every other camera."""
+    p = projected(V.tracking_events(s, d), homographies(s), "x", "y").select("id", F.col("camera").alias("own"), "wx", "wy")
     j = p.crossJoin(F.broadcast(homographies(s))).where("camera != own")
     ix, iy = G.project(G.inverse([F.col(f"h_{c}") for c in H]), F.col("wx"), F.col("wy"))
     return j.select("id", "camera", F.round(ix, 4).alias("ix"), F.round(iy, 4).alias("iy"))
@@ -163,13 +163,14 @@ def match_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def heatmap_zone_buckets(s: SparkSession, d: str) -> DataFrame:
-    """Counts of each zone and six-hour bucket of the first day, empty ones included."""
+    """Counts of each zone and six-hour bucket from the first day on, empty ones included."""
     e = V.tracking_events(s, d)
-    start = F.broadcast(e.agg((F.floor(F.min("us") / V.DAY) * V.DAY).alias("t0")))
-    p = e.crossJoin(start).withColumn("bucket", F.floor((F.col("us") - F.col("t0")) / (6 * V.HOUR))).where("bucket < 8")
+    start = F.broadcast(e.agg((F.floor(F.min("us") / V.DAY) * V.DAY).alias("t0"), F.max("us").alias("t1")))
+    bucket = lambda us: F.floor((F.col(us) - F.col("t0")) / (6 * V.HOUR))
+    p = e.crossJoin(start).withColumn("bucket", bucket("us"))
     z = F.broadcast(zones(s))
     hit = p.join(z, (F.col("x") >= F.col("zx1")) & (F.col("x") < F.col("zx2")) & (F.col("y") >= F.col("zy1")) & (F.col("y") < F.col("zy2"))).groupBy("zone", "bucket").agg(F.count("*").alias("n"))
-    every = zones(s).select("zone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("bucket"))
+    every = start.select(F.explode(F.sequence(F.lit(0).cast("long"), bucket("t1"))).alias("bucket")).crossJoin(F.broadcast(zones(s).select("zone")))
     return every.join(hit, ["zone", "bucket"], "left").select("zone", "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -199,7 +200,7 @@ _MATCH = f"""{F_}, a AS (SELECT env, frame, track, x, y, {_ROI.format(t='30::DOU
   j AS (SELECT a.*, b_track, {_up('sqrt((x - bx) * (x - bx) + (y - by_) * (y - by_))')} AS dist FROM a LEFT JOIN b USING (env, frame)),
   m AS (SELECT env, frame, track, count(*) FILTER (dist <= r * 10) AS n, arg_min(b_track, (dist, b_track)) FILTER (dist <= r * 10) AS to_track, min(dist) FILTER (dist <= r * 10) AS dist FROM j GROUP BY ALL),
   gm AS (SELECT env, frame, track, CASE n WHEN 0 THEN 'no_match' WHEN 1 THEN 'exact' ELSE 'closest' END AS kind, to_track, dist, CASE WHEN n > 0 THEN {_up("greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN n = 1 THEN 0.95::DOUBLE ELSE 0.7::DOUBLE END - 0.1::DOUBLE * (dist / 100)))")} END AS confidence FROM m)"""
-_HEAT = f"{E_}, {_ZN}, t AS (SELECT min(us) // 86400000000 * 86400000000 AS t0 FROM ev), c AS (SELECT zone, (us - t0) // 21600000000 AS bucket, count(*) AS n FROM ev, t, zn WHERE x >= zx1 AND x < zx2 AND y >= zy1 AND y < zy2 GROUP BY ALL), hm AS (SELECT z.zone, b AS bucket, coalesce(c.n, 0) AS n FROM zn z CROSS JOIN range(0, 8) r(b) LEFT JOIN c ON c.zone = z.zone AND c.bucket = b)"
+_HEAT = f"{E_}, {_ZN}, t AS (SELECT min(us) // 86400000000 * 86400000000 AS t0 FROM ev), c AS (SELECT zone, (us - t0) // 21600000000 AS bucket, count(*) AS n FROM ev, t, zn WHERE x >= zx1 AND x < zx2 AND y >= zy1 AND y < zy2 GROUP BY ALL), hm AS (SELECT z.zone, b AS bucket, coalesce(c.n, 0) AS n FROM zn z CROSS JOIN (SELECT unnest(range(0, (max(us) - min(t0)) // 21600000000 + 1)) AS b FROM ev, t) r LEFT JOIN c ON c.zone = z.zone AND c.bucket = b)"
 _POLY = " + ".join(f"(CASE WHEN (({y1}::DOUBLE > y) <> ({y2}::DOUBLE > y)) AND x < ({x2}::DOUBLE - {x1}::DOUBLE) * (y - {y1}::DOUBLE) / ({y2}::DOUBLE - {y1}::DOUBLE) + {x1}::DOUBLE THEN 1 ELSE 0 END)" for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1]))
 SQL = {
     "bbox_geometry": f"WITH {D_}, c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM det) SELECT id, {_up('cx')} AS cx, {_up('cy')} AS cy, {_up(_area(''))} AS area, {_up('y2')} AS foot_y, CASE WHEN cy < 300 AND cx < 500 THEN 'top_left' WHEN cy < 300 THEN 'top_right' WHEN cx < 500 THEN 'bottom_left' ELSE 'bottom_right' END AS quadrant, {_up('cx / 1000')} AS nx, {_up('sqrt((cx - 500) * (cx - 500) + (cy - 300) * (cy - 300))')} AS to_centre, {_up('abs(cx - 500) + abs(cy - 300)')} AS manhattan FROM c",
@@ -212,7 +213,7 @@ SQL = {
     "point_in_polygon": f"WITH {E_} SELECT camera, count(*) FILTER (({_POLY}) % 2 = 1) AS inside, count(*) AS n FROM ev GROUP BY camera",
     "project_world": f"WITH {_PROJ} SELECT id, {_up('wx')} AS wx, {_up('wy')} AS wy, CASE WHEN wx BETWEEN -400 AND 400 AND wy BETWEEN -400 AND 400 THEN 1 ELSE 0.5 END::DOUBLE AS quality FROM pr",
     "inverse_project": f"WITH {_PROJ} SELECT camera, count(*) AS n, max(sqrt(({_INV['x']} / {_INV['w']} - x) ** 2 + ({_INV['y']} / {_INV['w']} - y) ** 2)) < 1e-6::DOUBLE AS exact FROM pr GROUP BY camera",
-    "project_to_others": f"WITH {_PROJ}, o AS (SELECT id, camera AS own, wx, wy FROM pr WHERE track < 10) SELECT id, camera, round({_INV['x']} / {_INV['w']}, 4) AS ix, round({_INV['y']} / {_INV['w']}, 4) AS iy FROM o, hom WHERE camera <> own",
+    "project_to_others": f"WITH {_PROJ}, o AS (SELECT id, camera AS own, wx, wy FROM pr) SELECT id, camera, round({_INV['x']} / {_INV['w']}, 4) AS ix, round({_INV['y']} / {_INV['w']}, 4) AS iy FROM o, hom WHERE camera <> own",
     "map_bounds": f"WITH {_PROJ}, m AS (SELECT camera, min(wx) AS a, max(wx) AS b FROM pr GROUP BY camera) SELECT camera, round(a - greatest(1::DOUBLE, (b - a) * 0.1::DOUBLE), 4) AS low, round(b + greatest(1::DOUBLE, (b - a) * 0.1::DOUBLE), 4) AS high FROM m",
     "roi_radius": f"WITH {E_} SELECT id, {_up(_ROI.format(t='y / 100', q='conf'))} AS radius FROM ev",
     "geometric_match": f"WITH {_MATCH} SELECT * FROM gm",
