@@ -56,3 +56,18 @@ def test_subwords_in_parts_are_the_same():
     whole = np.sort(np.concatenate(list(langid.subwords(text))))
     parts = np.sort(np.concatenate(list(langid.subwords(text, step=64))))
     assert np.array_equal(whole, parts)
+
+
+def test_training_on_repeated_long_and_many_rows(spark, monkeypatch):
+    # a row that is repeated often takes one place of the sample; texts beyond the bytes are left out whole
+    data = rows(120) + [(5000, "kivo laru " * 30, "aa", "s")] * 400 + [(6000, "quorn blix " * 40000, "bb", "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, score string")
+    model = langid.train(docs, F.lit(True), per_language=60)
+    plain = langid.train(docs.distinct(), F.lit(True), per_language=60)
+    assert model.labels == ["aa", "bb", "cc"] and np.array_equal(model.bias, plain.bias)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 4000)
+    few = langid.train(docs, F.lit(True), per_language=60)
+    assert few.labels and set(few.labels) <= {"aa", "bb", "cc"}
+    monkeypatch.setattr(langid, "PARTS", 1)
+    one = langid.train(docs, F.lit(True), per_language=60)
+    assert np.array_equal(one.bias, few.bias)

@@ -64,3 +64,12 @@ def test_anchors_in_parts(monkeypatch):
     assert parts[3].sum() == len(data) - 49
     at = lambda x: dict(zip(x[2].tolist(), x[0].tolist()))
     assert all(at(parts).get(k, v) == v for k, v in at(whole).items())
+
+
+def test_a_row_repeated_many_times_gives_each_range_once(spark):
+    text = "some words that stand here, over and over again, in every one of these rows; " * 3
+    df = spark.createDataFrame([(1, text)] * 50 + [(2, "x" + text)] * 50, "doc_id long, text string")
+    got = repeats.remove_repeats(df, least=30, gram=8).collect()
+    assert len(got) == 100 and len({(r.doc_id, bytes(r.kept)) for r in got}) == 2
+    ranges = repeats.repeated(df, "doc_id", "text", 30, 8, "none", 2000)
+    assert ranges.distinct().groupBy("k", "t").count().agg({"count": "max"}).first()[0] <= len(text)

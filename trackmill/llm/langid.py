@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.keyed import small_batches
-from trackmill.sources.tables import table
+from trackmill.sources.tables import materialise, table
 
 BUCKETS, DIM, SEED, EPOCHS, BATCH, RATE = 1 << 16, 16, 11, 12, 16, 0.5
 #: Training texts for each language, and in all: the bound of the sample.
 PER_LANGUAGE, MOST = 500, 4000
+#: Parts of a label's rows that are ranked on their own first; bytes of counts that the driver gets.
+PARTS, SAMPLE_BYTES = 64, 64 << 20
 #: Of the texts held back, the share that may be rejected; no score above MAJORITY is rejected.
 REJECT, MAJORITY, KNOWN = 0.001, 0.5, 0.5
 UNKNOWN = "und"
@@ -136,11 +138,16 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray, bool]]) -> Model:
 
 def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
     """Fit on a sample of the rows of docs for which `allowed` holds and label and text are not
-    null: per_language rows of each label by the hash of their id, `most` rows in all. Subwords
-    of whole texts are counted in tasks; the driver gets the counts of the sample only."""
+    null: per_language rows of each label by the hash of their id, `most` rows in all, and no more
+    than SAMPLE_BYTES of counts. Subwords of whole texts are counted in tasks; the driver gets the
+    counts of the sample only. Rows that repeat an id, text and label count once; null ids share
+    one hash, and their texts' hashes tell them apart; an empty table learns nothing."""
     rows = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
-    w = Window.partitionBy("label").orderBy("h", "t")
-    keys = rows.select("label", "h", "t").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).orderBy("n", "label").limit(most)
+    # first within parts of a label, so that no task sees more than PARTS * per_language of its rows; repeated rows count once
+    part = F.pmod("h", F.lit(PARTS)).alias("part")
+    near = rows.select("label", "h", "t", part).withColumn("n", F.dense_rank().over(Window.partitionBy("label", "part").orderBy("h", "t"))).where(F.col("n") <= per_language)
+    near = near.select("label", "h", "t").distinct()
+    keys = near.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))).where(F.col("n") <= per_language).orderBy("n", "label").limit(most)
     chosen = rows.join(F.broadcast(keys), ["label", "h", "t"], "left_semi")  # at most `most` narrow rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +162,15 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
                     out.append((label, h, t, at.astype(np.int32).tobytes(), n[at].tobytes()))
             yield pd.DataFrame(out, columns=["label", "h", "t", "at", "n"])
 
-    counted = chosen.mapInPandas(run, "label string, h long, t long, at binary, n binary").dropDuplicates(["label", "h", "t"]).collect()
+    counted, _ = materialise(chosen.mapInPandas(run, "label string, h long, t long, at binary, n binary").dropDuplicates(["label", "h", "t"]))
+    sizes = counted.select("label", "h", "t", (F.length("at") + F.length("n")).alias("size")).collect()  # `most` rows at most
+    total = sum(r["size"] for r in sizes)
+    if total > SAMPLE_BYTES:  # long texts: as many of them, in the order of their hashes, as the driver may hold
+        sizes.sort(key=lambda r: (r["h"], r["t"], r["label"]))
+        room = np.cumsum([r["size"] for r in sizes]) <= SAMPLE_BYTES
+        fits = docs.sparkSession.createDataFrame([(r["label"], r["h"], r["t"]) for r, fit in zip(sizes, room) if fit], "label string, h long, t long")
+        counted = counted.join(F.broadcast(fits), ["label", "h", "t"], "left_semi")
+    counted = counted.collect()
     counted.sort(key=lambda r: (r["h"], r["t"], r["label"]))
     return fit([(r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["h"] % 5 == 0) for r in counted])
 

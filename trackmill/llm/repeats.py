@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm.keyed import chosen, packed, renamed_id, tag, unpacked
+from trackmill.llm.keyed import chosen, packed, renamed_id, unpacked, wide_tag
 from trackmill.sources.tables import materialise, table
 
 LEAST, GRAM, SEED = 200, 32, 5
@@ -84,9 +84,9 @@ def _stretches(docs: DataFrame, id_col: str, text_col: str, least: int, gram: in
                 data = text.encode("utf-8", "replace")
                 if len(data) < least:
                     continue
-                t = tag(data)
+                t = wide_tag(data)
                 for a, c, start, many in anchors(data, least, gram):
-                    out.append((np.full(len(a), k), np.full(len(a), t, np.int32), a, c, start.astype(np.int32), many.astype(np.int32)))
+                    out.append((np.full(len(a), k), np.full(len(a), t, np.int64), a, c, start.astype(np.int32), many.astype(np.int32)))
                     rows += len(a)
                 if rows > 100_000:
                     yield pd.DataFrame(dict(zip(("k", "t", "a", "c", "at", "n"), map(np.concatenate, zip(*out)))))
@@ -94,7 +94,7 @@ def _stretches(docs: DataFrame, id_col: str, text_col: str, least: int, gram: in
             if out:
                 yield pd.DataFrame(dict(zip(("k", "t", "a", "c", "at", "n"), map(np.concatenate, zip(*out)))))
 
-    return chosen(docs, id_col, text_col).mapInPandas(run, "k long, t int, a long, c long, at int, n int")
+    return chosen(docs, id_col, text_col).mapInPandas(run, "k long, t long, a long, c long, at int, n int")
 
 
 def previous_factors(windows: np.ndarray) -> np.ndarray:
@@ -174,8 +174,8 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int,
             if out:
                 yield pd.DataFrame(out, columns=["k", "t", "a", "at", "data", "w"])
 
-    texts = packed(docs, id_col, text_col)
-    fetched = texts.join(needs, (texts["k"] == needs["k_"]) & (texts["t"] == needs["t_"])).drop("k_", "t_").mapInPandas(fetch, "k long, t int, a long, at int, data binary, w long")
+    texts = packed(docs, id_col, text_col, wide_tag)
+    fetched = texts.join(needs, (texts["k"] == needs["k_"]) & (texts["t"] == needs["t_"])).drop("k_", "t_").mapInPandas(fetch, "k long, t long, a long, at int, data binary, w long")
     fetched, _ = materialise(fetched)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +196,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int,
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = fetched.where(F.length("data") > 0).dropDuplicates(["k", "t", "a", "at"]).select("a", "k", "t", "at", "data")
-    sorted_ = cold.repartition(n, "a").sortWithinPartitions("a", "k", "t", "at").mapInPandas(sort, "k long, t int, lo int, hi int")
+    sorted_ = cold.repartition(n, "a").sortWithinPartitions("a", "k", "t", "at").mapInPandas(sort, "k long, t long, lo int, hi int")
     # very many stretches of one anchor: windows by hash, combined before the shuffle
     hot = fetched.where(F.length("data") == 0).select("k", "t", "a", "at", "w").distinct()
     counted = hot.groupBy("a", "w").agg(F.count("*").alias("m"), F.min(F.struct("k", "t", "at")).alias("first")).where("m > 1").select(F.col("a").alias("a_"), F.col("w").alias("w_"), "first")
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     ranges = repeated(docs, id_col, text_col, least, gram, keep, split)
-    ranges = ranges.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("x"))  # bounded by the text
+    ranges = ranges.groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))  # each once, however often a row is repeated: bounded by the text
     ranges = ranges.select(F.col("k").alias("k_"), F.col("t").alias("t_"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((k, len(data), starts, ends, b"".join(data[i:j] for i, j in zip([0, *ends], [*starts, len(data)]))))
                 yield pd.DataFrame(out, columns=["k", "n_bytes", "starts", "ends", "kept"])
 
-    texts = packed(docs, id_col, text_col)
+    texts = packed(docs, id_col, text_col, wide_tag)
     joined = texts.join(ranges, (texts["k"] == ranges["k_"]) & (texts["t"] == ranges["t_"]), "left").select("k", "z", "lo", "hi")
     return renamed_id(joined.mapInPandas(cut, "k long, n_bytes long, starts array<int>, ends array<int>, kept binary"), id_col)
 
