@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.operators import aggregates, evaluate, identity, maintenance, registry, scans, sequence, spatial, supplements
+from trackmill.operators import aggregates, evaluate, identity, maintenance, registry, resolve, scans, sequence, spatial, supplements
 from trackmill.streaming import stream
 
-_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, supplements, registry, stream)
+_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, supplements, registry, resolve, stream)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
