@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackmill.llm.keyed import small_batches
+from trackmill.llm.keyed import give_back, small_batches, thrifty
 from trackmill.sources.tables import materialise, table
 
 BUCKETS, DIM, SEED, EPOCHS, BATCH, RATE = 1 << 16, 16, 11, 12, 16, 0.5
@@ -162,7 +162,7 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
                     out.append((label, h, t, at.astype(np.int32).tobytes(), n[at].tobytes()))
             yield pd.DataFrame(out, columns=["label", "h", "t", "at", "n"])
 
-    counted, _ = materialise(chosen.mapInPandas(run, "label string, h long, t long, at binary, n binary").dropDuplicates(["label", "h", "t"]))
+    counted, _ = materialise(chosen.mapInPandas(thrifty(run), "label string, h long, t long, at binary, n binary").dropDuplicates(["label", "h", "t"]))
     sizes = counted.select("label", "h", "t", (F.length("at") + F.length("n")).alias("size")).collect()  # `most` rows at most
     total = sum(r["size"] for r in sizes)
     if total > SAMPLE_BYTES:  # long texts: as many of them, in the order of their hashes, as the driver may hold
@@ -187,7 +187,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     @F.pandas_udf("lang_pred string, score double, known double, accepted boolean")
     def judged(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in text], columns=["lang_pred", "score", "known", "accepted"])
+        out = pd.DataFrame([shared.value.predict(x) for x in text], columns=["lang_pred", "score", "known", "accepted"])
+        give_back()
+        return out
 
     names = [F.col(f"`{c}`") for c in plain.columns]
     return plain.withColumn("judged_", judged(F.col(text_col).cast("string"))).select(*names, "judged_.*")

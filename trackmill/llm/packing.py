@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from trackmill.llm.bpe import TOKENIZER, encoder, slices
-from trackmill.llm.keyed import small_batches
+from trackmill.llm.keyed import small_batches, thrifty
 from trackmill.sources.tables import materialise, table
 
 LENGTH, WINDOWS, END, LEAST = 4096, 64, 2, 64
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     chosen = small_batches(docs).select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"))
     kind = chosen.schema["k_id"].dataType.simpleString()
-    pieces, _ = materialise(chosen.mapInPandas(run, f"k_id {kind}, start long, length long, ids array<int>, doc_tokens long, window_ long, offset long, crc long, left_ boolean"))
+    pieces, _ = materialise(chosen.mapInPandas(thrifty(run), f"k_id {kind}, start long, length long, ids array<int>, doc_tokens long, window_ long, offset long, crc long, left_ boolean"))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         """Leftover windows of a group, one after the other, cut into whole windows."""

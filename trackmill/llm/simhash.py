@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm.keyed import small_batches
+from trackmill.llm.keyed import small_batches, thrifty
 from trackmill.operators.graph import connected_components
 from trackmill.sources.tables import materialise, table
 
@@ -71,7 +71,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
 
     chosen = small_batches(docs).select(F.col(id_col).alias("k_id"), F.col(text_col).cast("string").alias("k_text"), _hash(text_col).alias("t"))
     kind = chosen.schema["k_id"].dataType.simpleString()
-    return chosen.mapInPandas(run, f"k_id {kind}, t long, fp long")
+    return chosen.mapInPandas(thrifty(run), f"k_id {kind}, t long, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -195,7 +195,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
     wide = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = wide.repartition(n, "t", "key").sortWithinPartitions("t", "key", "fp")
-    return dealt.mapInPandas(run, "src long, dst long").distinct()
+    return dealt.mapInPandas(thrifty(run), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
