@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repeats, simhash, sketches, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repair, repeats, simhash, sketches, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_fingerprints": sketches.op8_fingerprints,
     "op9_passages": passages.op9_passages,
     "op10_packing": packing.op10_packing,
+    "op12_repair": repair.op12_repair,
 }
-SQL = {**urlfilter.SQL, **licenses.SQL}
+SQL = {**urlfilter.SQL, **licenses.SQL, **repair.SQL}
