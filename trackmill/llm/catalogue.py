@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repair, repeats, simhash, sketches, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repair, repeats, simhash, sketches, trie, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": sketches.op8_fingerprints,
     "op9_passages": passages.op9_passages,
     "op10_packing": packing.op10_packing,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_repair": repair.op12_repair,
 }
-SQL = {**urlfilter.SQL, **licenses.SQL, **repair.SQL}
+SQL = {**urlfilter.SQL, **licenses.SQL, **trie.SQL, **repair.SQL}
