@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repair, repeats, simhash, sketches, trie, urlfilter
+from trackmill.llm import bpe, langid, licenses, neighbours, packing, passages, repair, repeats, simhash, sketches, toxicity, trie, urlfilter
 
 QUERIES = {
     "op1_cross_polytope": neighbours.op1_cross_polytope,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_repair": repair.op12_repair,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 SQL = {**urlfilter.SQL, **licenses.SQL, **trie.SQL, **repair.SQL}
