@@ -162,30 +162,12 @@ def dbscan_areas(s: SparkSession, d: str) -> DataFrame:
 
 def fit_homography(s: SparkSession, d: str) -> DataFrame:
     """A homography for each camera from all its image and world points, by least squares."""
+    from trackmill.operators.calibrate import fitted
     from trackmill.operators.spatial import homographies, projected
 
     p = projected(V.tracking_events(s, d), homographies(s), "x", "y").select("camera", "x", "y", "wx", "wy")
-
-    def sums(batches):
-        """Normal equations of the direct linear transform, added up in each task."""
-        total = {}
-        for b in batches:
-            for camera, g in b.groupby("camera"):
-                x, y, u, v = (g[c].to_numpy() / 100 for c in ("x", "y", "wx", "wy"))
-                o, i = np.zeros_like(x), np.ones_like(x)
-                a = np.concatenate([np.stack([x, y, i, o, o, o, -u * x, -u * y, -u], 1), np.stack([o, o, o, x, y, i, -v * x, -v * y, -v], 1)])
-                total[camera] = total.get(camera, 0) + a.T @ a
-        yield pd.DataFrame([(k, m.ravel()) for k, m in total.items()], columns=["camera", "m"])
-
-    def solve(key, x: pd.DataFrame) -> pd.DataFrame:
-        m = sum(np.asarray(v).reshape(9, 9) for v in x["m"])
-        h = np.linalg.eigh(m)[1][:, 0].reshape(3, 3)
-        scale = np.diag([100.0, 100.0, 1.0])
-        h = scale @ h @ np.linalg.inv(scale)
-        return pd.DataFrame([(key[0], *(h / h[2, 2]).ravel())], columns=["camera", *[f"f_{c}" for c in "abcdefghi"]])
-
-    fit = p.mapInPandas(sums, "camera string, m array<double>").groupBy("camera").applyInPandas(solve, "camera string, " + ", ".join(f"f_{c} double" for c in "abcdefghi"))
-    return p.groupBy("camera").agg(F.count("*").alias("n")).join(fit, "camera").select("camera", "n", *[(F.round(f"f_{c}", 6) + 0.0).alias(f"h_{c}") for c in "abcdefghi"])
+    fit = fitted(p)
+    return p.groupBy("camera").agg(F.count("*").alias("n")).join(fit, "camera").select("camera", "n", *[(F.round(c, 6) + 0.0).alias(f"h_{c}") for c in "abcdefghi"])
 
 
 QUERIES = {f.__name__: f for f in (cross_camera_pairs, hungarian_match, matched_identities, buffer_match, conflict_resolve, shared_ids, registry_lookup, knn_handoff, dbscan_areas, fit_homography)}
