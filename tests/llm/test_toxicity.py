@@ -74,12 +74,9 @@ def test_nearest_against_all_cosines():
     rows += rows[:50]
     weight = rng.uniform(1, 5, 31)
     index = toxicity.build(rows, weight, {0: 1.0, 1: 1.0})
-    dense = np.zeros((len(index.mass), 31))
-    for t in range(31):
-        for b in range(index.bound.shape[1]):
-            s, e = index.start[t, b], index.start[t, b + 1]
-            dense[index.examples[s:e], t] = index.values[s:e]
-            assert (index.values[s:e] <= index.bound[t, b]).all() and (index.examples[s:e] // toxicity.BLOCK == b).all()
+    dense = index.postings.T
+    for b in range(index.bound.shape[1]):
+        assert (dense[b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK].max(axis=0) == index.bound[:, b]).all()
     assert np.allclose((dense**2).sum(axis=1), 1) and index.mass.sum() == len(rows)
     opened = 0
     for at, counts, *_ in rows[:200]:

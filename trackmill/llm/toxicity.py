@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are words and their beginnings of 3 to 8 letters. Of a bounded sample of labelled rows, tasks
-add up how much of each text a term is, and the terms that toxic texts hold more of (Welch's t above
-LEAST_T) are the vocabulary; every other word counts as one further term, present everywhere. Document
+add up how much of each text a term is, and the terms that toxic texts hold TIMES as much of (Welch's t
+above LEAST_T) are the vocabulary; every other word counts as one further term, present everywhere. Document
 frequencies are counted over all documents. The examples' vectors are an inverted index cut into blocks
 of like examples, with the largest weight of each term in each block. A text's bound for a block is the
 sum of its weights times these; blocks are opened by falling bounds until the bound is below the k-th
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from trackmill.llm.keyed import small_batches, thrifty
 from trackmill.sources.tables import materialise, table
 
-#: Examples of a label at most, terms at most, and texts of the sample that must hold a term.
-PER_LABEL, VOCABULARY, LEAST_T, LEAST_TEXTS = 2000, 512, 2.5, 3
+#: Examples of a label at most; terms at most; how sure it must be that toxic texts hold more of a term,
+#: and how many times more; texts of the sample that must hold it.
+PER_LABEL, VOCABULARY, LEAST_T, TIMES, LEAST_TEXTS = 2000, 512, 2.5, 2.0, 3
 #: Neighbours, examples of a block, what is added to distances, neighbours told as evidence.
 NEAREST, BLOCK, SOFT, EVIDENCE = 10, 64, 0.02, 3
 SHORTEST, LONGEST, SEED = 3, 8, 13
@@ -101,7 +102,7 @@ def vocabulary(sample: DataFrame, counts: dict[int, int], most: int = VOCABULARY
     spread = [F.greatest(F.col(f"q{y}") / counts[y] - mean[y] * mean[y], F.lit(0.0)) / counts[y] for y in (0, 1)]
     t = (mean[1] - mean[0]) / F.sqrt(spread[0] + spread[1] + 1e-6 / counts[1])
     alike = [F.substring("term", 1, SHORTEST), "n0", "n1", F.round("s0", 9), F.round("s1", 9)]
-    found = by.withColumn("t", F.round(t, 9)).where(F.col("t") > LEAST_T).groupBy(*alike).agg(F.min(F.struct(F.length("term"), "term", "t")).alias("x"))
+    found = by.withColumn("t", F.round(t, 9)).where((F.col("t") > LEAST_T) & (mean[1] >= TIMES * mean[0])).groupBy(*alike).agg(F.min(F.struct(F.length("term"), "term", "t")).alias("x"))
     return [r["term"] for r in found.select("x.*").orderBy(F.desc("t"), "term").limit(most).collect()]
 
 
@@ -131,12 +132,10 @@ def _vectors(batches: Iterator[pd.DataFrame], words: dict[str, int]) -> Iterator
 
 @dataclass
 class Index:
-    """Examples in blocks, as postings by (term, block)."""
+    """Examples in blocks: the postings of each term, a block's side by side."""
 
     weight: np.ndarray  # of each term: its inverse document frequency
-    start: np.ndarray  # (terms, blocks + 1): where the postings of a term and block begin
-    examples: np.ndarray
-    values: np.ndarray
+    postings: np.ndarray  # (terms, examples): the term's weight in the example's unit vector
     bound: np.ndarray  # (terms, blocks): the largest value
     mass: np.ndarray  # of each example: equal ones, by importance
     toxic: np.ndarray
@@ -159,12 +158,11 @@ class Index:
                 break
             opened += 1
             low = b * BLOCK
-            dot = np.zeros(min(BLOCK, len(self.mass) - low))
-            for i, x in zip(at, v):
-                s, e = self.start[i, b], self.start[i, b + 1]
-                dot[self.examples[s:e] - low] += x * self.values[s:e]
+            dot = v @ self.postings[:, low : low + BLOCK][at]
             if low <= but < low + BLOCK:
                 dot[but - low] = -1
+            if len(best) == k and dot.max() < best[-1]:
+                continue
             best_at, best = np.concatenate((best_at, np.arange(low, low + len(dot)))), np.concatenate((best, dot))
             order = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[order], best[order]
@@ -182,27 +180,25 @@ class Index:
 
 def build(vectors: list[tuple[list, list, int, int]], weight: np.ndarray, importance: dict[int, float]) -> Index:
     """An index of (places, counts, label, id). Equal vectors are one example of their joint mass, named by the smallest id."""
-    index = Index(weight, *[np.zeros(0)] * 6, [])
+    index = Index(weight, *[np.zeros(0)] * 4, [])
     groups: dict = {}
     for at, counts, y, name in vectors:
         if len(at):
             at, v = index.unit(at, counts)
             g = groups.setdefault((tuple(at.tolist()), tuple(np.round(v, 12).tolist())), [at, v, 0.0, 0.0, name])
             g[2], g[3], g[4] = g[2] + importance[y], g[3] + importance[y] * y, min(g[4], name)
-    # like examples share a block: those of the same strongest term, by its weight
-    strongest = lambda g: (int(g[0][g[1].argmax()]), float(g[1].max()))
+    # like examples share a block: those of the same strongest term of the vocabulary, by its weight
+
+    def strongest(g: list) -> tuple[int, float]:
+        own = np.where(g[0] < len(weight) - 1, g[1], 0.0)
+        return (int(g[0][own.argmax()]), float(own.max())) if own.max() > 0 else (-1, 0.0)
+
     rows = [groups[k] for k in sorted(groups, key=lambda k: (strongest(groups[k]), k))]
-    n_terms, n_blocks = len(weight), -(-len(rows) // BLOCK)
-    term, example, value = (np.concatenate([np.asarray(x) for x in parts]) if rows else np.zeros(0) for parts in ([g[0] for g in rows], [[i] * len(g[0]) for i, g in enumerate(rows)], [g[1] for g in rows]))
-    term, example = term.astype(np.int64), example.astype(np.int64)
-    order = np.lexsort((example, term))
-    cell = term[order] * n_blocks + example[order] // BLOCK
-    index.examples, index.values = example[order], value[order]
-    at = np.arange(n_terms)[:, None] * n_blocks + np.arange(n_blocks + 1)[None, :]
-    index.start = np.searchsorted(cell, at)
-    index.bound = np.zeros(n_terms * n_blocks)
-    np.maximum.at(index.bound, cell, index.values)
-    index.bound = index.bound.reshape(n_terms, n_blocks)
+    index.postings = np.zeros((len(weight), len(rows)))
+    for i, g in enumerate(rows):
+        index.postings[g[0], i] = g[1]
+    edges = np.arange(0, len(rows), BLOCK)
+    index.bound = np.maximum.reduceat(index.postings, edges, axis=1) if rows else np.zeros((len(weight), 0))
     index.mass, index.toxic, index.names = np.array([g[2] for g in rows]), np.array([g[3] for g in rows]), [g[4] for g in rows]
     total = index.mass.sum()
     index.base = float(index.toxic.sum() / total) if total else 0.0
@@ -237,6 +233,7 @@ def calibrate(index: Index, rows: list, importance: dict[int, float]) -> None:
 
 
 def _scored(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
+    known: dict[tuple, tuple] = {}  # most texts hold no term, or what others hold too
     for b in batches:
         scores, evidence = [], []
         for at, counts in zip(b["k_terms"], b["k_counts"]):
@@ -244,9 +241,16 @@ def _scored(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFr
                 scores.append(index.base)
                 evidence.append([])
                 continue
-            near, cosines, _ = index.nearest(*index.unit(at, counts))
-            scores.append(index.score(index.vote(near, cosines)))
-            evidence.append([{"doc_id": index.names[i], "cosine": float(c), "toxic": float(index.toxic[i] / index.mass[i])} for i, c in zip(near[:EVIDENCE], cosines)])
+            whole = np.gcd.reduce(counts)  # what has one direction has one answer
+            key = (at.tobytes(), (counts // whole).tobytes())
+            found = known.get(key)
+            if found is None:
+                if len(known) > REMEMBERED // 10:
+                    known.clear()
+                near, cosines, _ = index.nearest(*index.unit(at, counts // whole))
+                found = known[key] = index.score(index.vote(near, cosines)), [{"doc_id": index.names[i], "cosine": float(c), "toxic": float(index.toxic[i] / index.mass[i])} for i, c in zip(near[:EVIDENCE], cosines)]
+            scores.append(found[0])
+            evidence.append(found[1])
         yield pd.DataFrame({"k_id": b["k_id"], "score": scores, "evidence": evidence})
 
 
