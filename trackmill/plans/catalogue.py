@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from trackmill.operators import aggregates, calibrate, evaluate, identity, maintenance, reciprocal, registry, resolve, scans, sequence, spatial, supplements
-from trackmill.streaming import stream
+from trackmill.streaming import state, stream
 
-_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, supplements, registry, resolve, reciprocal, calibrate, stream)
+_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, supplements, registry, resolve, reciprocal, calibrate, stream, state)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
