@@ -65,9 +65,17 @@ def test_training_on_repeated_long_and_many_rows(spark, monkeypatch):
     model = langid.train(docs, F.lit(True), per_language=60)
     plain = langid.train(docs.distinct(), F.lit(True), per_language=60)
     assert model.labels == ["aa", "bb", "cc"] and np.array_equal(model.bias, plain.bias)
-    monkeypatch.setattr(langid, "SAMPLE_BYTES", 4000)
-    few = langid.train(docs, F.lit(True), per_language=60)
-    assert few.labels and set(few.labels) <= {"aa", "bb", "cc"}
+    few = langid.train(docs, F.lit(True), per_language=60, sample_bytes=4000)
+    assert few.labels == ["aa", "bb", "cc"]
     monkeypatch.setattr(langid, "PARTS", 1)
-    one = langid.train(docs, F.lit(True), per_language=60)
+    one = langid.train(docs, F.lit(True), per_language=60, sample_bytes=4000)
     assert np.array_equal(one.bias, few.bias)
+
+
+def test_labels_take_turns():
+    sizes = [{"label": y, "h": h, "t": h, "size": 100 if y == "a" else 30} for y in "abc" for h in range(5)]
+    got = langid.in_turn(sizes, 400)
+    assert got[:3] == [("a", 0, 0), ("b", 0, 0), ("c", 0, 0)]
+    assert [x[1] for x in got if x[0] == "b"] == [0, 1, 2] == [x[1] for x in got if x[0] == "c"]
+    assert [x[1] for x in got if x[0] == "a"] == [0, 1]  # 80 bytes are left where its third comes
+    assert {x[0] for x in langid.in_turn(sizes, 1)} == {"a", "b", "c"} and langid.in_turn([], 9) == []

@@ -96,3 +96,19 @@ def test_skewed_ids_spread(spark, monkeypatch):
     order = df.withColumn("bucket", bucket).collect()
     order = sorted(order, key=lambda r: (r.k_id is not None, r.k_id or 0, r.h))
     assert [r.bucket for r in order] == sorted(r.bucket for r in order)
+
+
+def test_one_row_repeated_often(spark, monkeypatch):
+    """A row that is most of the table is held once; every copy but the last is followed by its like."""
+    monkeypatch.setattr(sketches, "COPIES", 700)
+    rows = [(5, "the row that is there again and again é")] * 10_000 + [(i, f"text {i} " * 9) for i in range(20)] + [(None, "none")] * 3 + [(5, "another"), (5, None), (5, "")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, copies string")
+    got = [(r.doc_id, r.n_chars, r.edited, r.sketch == r.next_sketch) for r in sketches.fingerprints(df).collect()]
+    keyed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = []
+    for a, b in zip(order, order[1:] + order[:1]):
+        cut = len(a.t) // 4
+        want.append((a.doc_id, len(a.t), a.t[: len(a.t) - cut] + b.t[:cut]))
+    assert sorted(map(repr, want)) == sorted(repr(r[:3]) for r in got)
+    assert sum(r[3] for r in got if r[0] == 5 and r[1] == len(rows[0][1])) == 9_999

@@ -136,10 +136,32 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray, bool]]) -> Model:
     return Model(labels, whole, bias.astype(np.float64), t, float(min(MAJORITY, np.quantile(right, REJECT))), float(KNOWN * np.quantile(total[:, -1], REJECT)))
 
 
-def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
+def in_turn(sizes: list, room: int) -> list[tuple]:
+    """(label, h, t) of sample texts (label, h, t, size) that fit into `room` bytes: labels take turns, each with
+    its texts in the order of their hashes, and one whose next text is too long stops. The first text of every
+    label is taken in any case, so that none is lost."""
+    waiting: dict[str, list] = {}
+    for r in sorted(sizes, key=lambda r: (r["h"], r["t"]), reverse=True):
+        waiting.setdefault(r["label"], []).append(r)
+    taken, first = [], True
+    while waiting:
+        for label in sorted(waiting):
+            r = waiting[label].pop()
+            if r["size"] > room and not first:
+                del waiting[label]
+                continue
+            room -= r["size"]
+            taken.append((label, r["h"], r["t"]))
+            if not waiting[label]:
+                del waiting[label]
+        first = False
+    return taken
+
+
+def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a sample of the rows of docs for which `allowed` holds and label and text are not
     null: per_language rows of each label by the hash of their id, `most` rows in all, and no more
-    than SAMPLE_BYTES of counts. Subwords of whole texts are counted in tasks; the driver gets the
+    than sample_bytes of counts, of which labels take their texts in turn. Subwords of whole texts are counted in tasks; the driver gets the
     counts of the sample only. Rows that repeat an id, text and label count once; null ids share
     one hash, and their texts' hashes tell them apart; an empty table learns nothing."""
     rows = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
@@ -164,11 +186,8 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
 
     counted, _ = materialise(chosen.mapInPandas(thrifty(run), "label string, h long, t long, at binary, n binary").dropDuplicates(["label", "h", "t"]))
     sizes = counted.select("label", "h", "t", (F.length("at") + F.length("n")).alias("size")).collect()  # `most` rows at most
-    total = sum(r["size"] for r in sizes)
-    if total > SAMPLE_BYTES:  # long texts: as many of them, in the order of their hashes, as the driver may hold
-        sizes.sort(key=lambda r: (r["h"], r["t"], r["label"]))
-        room = np.cumsum([r["size"] for r in sizes]) <= SAMPLE_BYTES
-        fits = docs.sparkSession.createDataFrame([(r["label"], r["h"], r["t"]) for r, fit in zip(sizes, room) if fit], "label string, h long, t long")
+    if sum(r["size"] for r in sizes) > sample_bytes:
+        fits = docs.sparkSession.createDataFrame(in_turn(sizes, sample_bytes), "label string, h long, t long")
         counted = counted.join(F.broadcast(fits), ["label", "h", "t"], "left_semi")
     counted = counted.collect()
     counted.sort(key=lambda r: (r["h"], r["t"], r["label"]))

@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.urlfilter import LOWER, UPPER
-from trackmill.sources.tables import table
+from trackmill.sources.tables import materialise, table
 
 SHINGLE = 5
 #: A hash is kept if its upper BITS bits are zero: one in eight.
 BITS = 3
 #: Documents in one range of ids; ranges in one window; quantiles of the ids, between which ranges are equally wide.
 RANGE, RANGES, QUANTILES = 500, 2000, 256
+#: Copies of one row that a task tells at a time.
+COPIES = 1000
 
 
 def bound(value: Column, body) -> Column:
@@ -117,6 +119,12 @@ def _buckets(rows: DataFrame) -> tuple[Column, int]:
     return F.when(F.col("k_id").isNull(), spread(parts(nulls))).otherwise(bound(i, bucket)).cast("long"), at
 
 
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """(a_id, a_h, copies): ids and text hashes of rows (k_id, k_text) that are there more than once; None if there are none."""
+    found, _ = materialise(rows.groupBy(F.col("k_id").alias("a_id"), F.xxhash64("k_text").alias("a_h")).agg(F.count("*").alias("copies")).where("copies > 1"))
+    return None if found.isEmpty() else found
+
+
 def with_next(rows: DataFrame, fp: Column) -> DataFrame:
     """rows (k_id, k_text) with fp, which is computed once a row, and next_text, next_fp of the next
     row by ascending id, the first's for the last."""
@@ -142,11 +150,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited is the text with its last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document by ascending id; after the last comes the first. Null ids come
     first; equal ids are in the order of their texts' hashes. A null text is empty; texts are
-    read whole; repeated rows follow one another; other columns are ignored; an empty table
+    read whole; repeated rows follow one another, and are told from one row of them; other columns are ignored; an empty table
     gives no rows; a single document is its own next.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("k_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("k_text"))
-    rows = with_next(rows, sketch(F.col("k_text"), shingle, bits))
+    again = repeated(rows)
+    if again is None:
+        rows = with_next(rows, sketch(F.col("k_text"), shingle, bits))
+    else:
+        same = (F.col("k_id").eqNullSafe(F.col("a_id"))) & (F.col("h") == F.col("a_h"))
+        keyed = rows.withColumn("h", F.xxhash64("k_text"))
+        of = keyed.join(again, same).select("k_id", "k_text", "h", "copies")
+        once = keyed.join(again, same, "left_anti").select("k_id", "k_text").unionByName(of.dropDuplicates(["k_id", "h"]).select("k_id", "k_text"))
+        once = with_next(once, sketch(F.col("k_text"), shingle, bits))
+        # every copy but the last is followed by its like: told by one row for each COPIES of them, dealt out anew
+        like = of.dropDuplicates(["k_id", "h"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 2) / COPIES)))).repartition("k_id", "h", "block")
+        fp = sketch(F.col("k_text"), shingle, bits)
+        many = F.least(F.lit(COPIES).cast("long"), F.col("copies") - 1 - F.col("block") * COPIES)
+        like = like.select("k_id", "k_text", fp.alias("fp"), F.col("k_text").alias("next_text"), many.alias("many")).withColumn("next_fp", F.col("fp"))
+        like = like.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many")))).drop("_", "many")
+        rows = once.unionByName(like.select(once.columns))
     n = F.length("k_text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("k_text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
