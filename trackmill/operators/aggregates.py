@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackmill.functions.order import placed
 from trackmill.operators.scans import latest, with_as_of
 from trackmill.sources import views as V
 
@@ -12,20 +13,15 @@ from trackmill.sources import views as V
 DWELL_CLASSES = (60, 300, 900)
 
 
-def upper_median(column: str, exact: bool = True) -> Column:
-    """The element at n div 2 of the sorted values (the upper one of two). The exact form holds a
-    group's values; exact=False sketches them, for groups of any size."""
+def at_places(rows: DataFrame, key: str, value: str, places: dict[str, float | None], exact: bool = True) -> DataFrame:
+    """A row for each key: of the n sorted values that at int(n * share), for each name and share of places; None is the
+    upper median, at n div 2. exact=False sketches them in one pass."""
     if not exact:
-        return F.percentile_approx(column, 0.5, 100_000)
-    return F.element_at(F.array_sort(F.collect_list(column)), (F.count(column) / 2).cast("int") + 1)
-
-
-def at_share(column: str, share: float, exact: bool = True) -> Column:
-    """The element at int(n * share) of the sorted values; exact as for the upper median."""
-    if not exact:
-        return F.percentile_approx(column, share, 100_000)
-    n = F.count(column)
-    return F.element_at(F.array_sort(F.collect_list(column)), F.least((n * F.lit(share)).cast("int"), (n - 1).cast("int")) + 1)
+        return rows.groupBy(key).agg(*[F.percentile_approx(value, 0.5 if x is None else x, 100_000).alias(name) for name, x in places.items()])
+    n = rows.groupBy(key).agg(F.count(value).alias("n"))
+    at = lambda x: F.floor(F.col("n") / 2) if x is None else F.least((F.col("n") * F.lit(x)).cast("long"), F.col("n") - 1)
+    asked = n.select(key, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(x).alias("place")) for name, x in places.items()])).alias("x")).select(key, "x.*")
+    return placed(rows, key, value, asked).groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in places])
 
 
 def half_up(x: Column) -> Column:
@@ -51,7 +47,8 @@ def dwell_summary(intervals: DataFrame, exact: bool = True) -> DataFrame:
         inside = (F.col("dwell_s") >= lo) & (F.col("dwell_s") < hi if hi else F.lit(True))
         parts += [F.count_if(inside).alias(f"n_class{i}"), F.round(F.count_if(inside) * 100.0 / F.count("*"), 4).alias(f"pct_class{i}")]
         lo = hi
-    return intervals.groupBy("camera").agg(F.count("*").alias("persons"), F.round(F.avg("dwell_s"), 6).alias("avg_s"), F.round(upper_median("dwell_s", exact), 6).alias("median_s"), F.round(F.min("dwell_s"), 6).alias("min_s"), F.round(F.max("dwell_s"), 6).alias("max_s"), *parts)
+    median = at_places(intervals, "camera", "dwell_s", {"median_s": None}, exact).select("camera", F.round("median_s", 6).alias("median_s"))
+    return intervals.groupBy("camera").agg(F.count("*").alias("persons"), F.round(F.avg("dwell_s"), 6).alias("avg_s"), F.round(F.min("dwell_s"), 6).alias("min_s"), F.round(F.max("dwell_s"), 6).alias("max_s"), *parts).join(median, "camera")
 
 
 def bucket_totals(events: DataFrame, size: int = V.HOUR) -> DataFrame:
@@ -203,7 +200,13 @@ def dashboard_summary(s: SparkSession, d: str) -> DataFrame:
 
 def percentile_exact(s: SparkSession, d: str) -> DataFrame:
     e = V.tracking_events(s, d)
-    return e.groupBy("camera").agg(F.round(F.avg("y"), 6).alias("mean"), F.round(at_share("y", 0.95), 6).alias("p95"), F.round(at_share("y", 0.99), 6).alias("p99"), F.round(F.percentile("y", F.lit(0.95)), 6).alias("p95_interpolated"))
+    # the interpolated one lies between two neighbours
+    near = (F.col("n") - 1) * 0.95
+    two = e.groupBy("camera").agg(F.count("y").alias("n")).select("camera", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), f(near).cast("long").alias("place")) for c, f in (("low", F.floor), ("high", F.ceil))])).alias("x")).select("camera", "x.*")
+    two = placed(e, "camera", "y", two).groupBy("camera").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in ("low", "high")])
+    g = e.groupBy("camera").agg(F.avg("y").alias("mean"), F.count("y").alias("n")).join(at_places(e, "camera", "y", {"p95": 0.95, "p99": 0.99}), "camera").join(two, "camera")
+    between = F.col("low") + (near - F.floor(near)) * (F.col("high") - F.col("low"))
+    return g.select("camera", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "p99")], F.round(between, 6).alias("p95_interpolated"))
 
 
 def running_mean(s: SparkSession, d: str) -> DataFrame:
