@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackmill.operators import aggregates, calibrate, evaluate, identity, maintenance, mot, reciprocal, retrieval, registry, resolve, scans, sequence, spatial, supplements
+from trackmill.operators import aggregates, calibrate, evaluate, identity, maintenance, mot, reciprocal, registry, reports, retrieval, resolve, scans, sequence, spatial, supplements
 from trackmill.streaming import state, store, stream
 
-_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, supplements, registry, resolve, reciprocal, calibrate, retrieval, mot, stream, state, store)
+_MODULES = (scans, aggregates, sequence, spatial, identity, evaluate, maintenance, supplements, registry, resolve, reciprocal, calibrate, retrieval, mot, reports, stream, state, store)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.SQL.items()}
