@@ -231,5 +231,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents that are rejected go."""
+    """Stage: documents that are rejected go, and so do those of a null or empty text, or without a letter. Where
+    no label is known nothing can be learned, and all go. Long texts are read whole; equal rows have one result
+    and all stay or go; null ids are judged like others (and never learned from); columns stay as they are."""
     return predict(docs, learned(docs)).where("accepted").select(*[f"`{c}`" for c in docs.columns])

@@ -154,5 +154,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the pieces of all documents, with their ids, in sequences for training."""
+    """Stage: the pieces of all documents, with their ids, in sequences for training. A null or empty text is
+    one piece, its end mark; a long one is cut into as many pieces as it takes; repeated rows and null ids
+    are packed like others; other columns are left out; an empty table gives no rows."""
     return pack(docs, public_tokenizers.path(TOKENIZER))

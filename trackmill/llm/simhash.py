@@ -240,5 +240,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: one document of each group of near-duplicates stays."""
+    """Stage: one document of each group of near-duplicates stays, that of the smallest id, null ids last; of
+    equal ids that of the smaller text hash. Null and empty texts have the fingerprint zero, so one of them all stays.
+    Of rows that repeat an id and text one stays, any one where they differ in other columns. Long texts are
+    read whole; columns stay as they are."""
     return keep_one_of_each(docs)
