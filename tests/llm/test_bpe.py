@@ -104,3 +104,17 @@ def test_packer_never_overfills():
             assert fill[w] <= 100
         assert at == n and len(p.open) <= 4
     assert all(fill[w] > 95 - 5 for w in p.closed) and not {w for _, w in p.open} & set(p.closed)
+
+
+def test_words_that_are_met_again_are_kept():
+    e = bpe.Encoder(public_tokenizers.path(bpe.TOKENIZER))
+    e.most_words = 60
+    often = "the quick brown fox"
+    learned, library = [], e._library
+    e._library = lambda words: (learned.extend(words), library(words))[1]
+    for i in range(20):
+        text = often + " " + " ".join(f"w{chr(97 + i)}{chr(97 + j)}x" for j in range(20))
+        got = e.encode_plain([text])[0].tolist()
+        assert got == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(e.hash) <= 60
+    assert learned.count("quick") == 1

@@ -73,7 +73,8 @@ class Encoder:
     """Encodes as the tokenizers library does with add_special_tokens=False.
 
     Words are remembered by two 64-bit hashes of their bytes, in flat arrays: `start` and `size`
-    of their ids in `pool`. All are forgotten when there are too many.
+    of their ids in `pool`. When there are too many, those that were met in one batch only are
+    forgotten; all, if that is too few.
     """
 
     def __init__(self, path: str):
@@ -92,6 +93,16 @@ class Encoder:
     def _forget(self) -> None:
         none = np.array([], dtype=np.int64)
         self.hash, self.check, self.start, self.size, self.pool = none.view(np.uint64), none.view(np.uint64), none, none, np.array([], dtype=np.int32)
+        self.again = np.array([], dtype=bool)  # met since they were learned or last kept
+
+    def _keep(self) -> None:
+        """Forget the words that were not met again."""
+        kept = self.again
+        n = self.size[kept]
+        stop = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.start[kept] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        self.hash, self.check, self.start, self.size = self.hash[kept], self.check[kept], stop - n, n
+        self.again = np.zeros(len(n), dtype=bool)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, one after the other, and how many each has."""
@@ -173,9 +184,13 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.hash, one), max(len(self.hash) - 1, 0))
         known = self.hash[at] == one if len(self.hash) else np.zeros(len(one), bool)
         new = np.flatnonzero(~known)
+        self.again[at[known]] = True
         if len(new):
             if len(self.hash) + len(new) > self.most_words and len(self.hash):
-                self._forget()
+                if 2 * int(self.again.sum()) <= self.most_words and int(self.again.sum()) + len(new) <= self.most_words:
+                    self._keep()
+                else:
+                    self._forget()
                 return self._some_words(texts)
             low_bytes = low.tobytes()
             got, size = self._library([low_bytes[i:j].decode() for i, j in zip(start[sample[new]].tolist(), end[sample[new]].tolist())])
@@ -184,6 +199,7 @@ class Encoder:
             self.hash, self.check = np.concatenate((self.hash, one[new])), np.concatenate((self.check, second[sample[new]]))
             order = np.argsort(self.hash, kind="stable")
             self.hash, self.check, self.start, self.size = self.hash[order], self.check[order], self.start[order], self.size[order]
+            self.again = np.concatenate((self.again, np.zeros(len(new), dtype=bool)))[order]
             at = np.searchsorted(self.hash, one)
         word = at[back]
         if (self.check[word] != second).any():
