@@ -3,9 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.test_queries import DATA, plain
+from trackmill.operators import slabs
 from trackmill.plans import catalogue
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -29,3 +32,34 @@ def against(spark, folder, name, **tables):
 def test_identities_of_five_digits(spark, tmp_path):
     rows = against(spark, tmp_path, "reid_paths", events="SELECT * REPLACE (user_id + 12340 AS user_id) FROM small_events")
     assert {r["pid"] for r in rows} == {12340 + k for k in range(15) if k % 10}
+
+
+#: Vectors of a few kinds, so that most meet equal ones, in an order that isn't that of their ids.
+EQUAL = "SELECT a.vec_id, b.embedding, a.label FROM small_embeddings a JOIN small_embeddings b ON b.vec_id = (a.vec_id * 7 + a.vec_id // 100) % 23"
+RANKED = ("reid_roc",)
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_equal_vectors_in_small_slabs(spark, tmp_path, monkeypatch, name):
+    for part, size in (("QUERIES_", 20), ("GALLERY", 70), ("BLOCK", (3, 50)), ("RANKED", 5000)):
+        monkeypatch.setattr(slabs, part, size)
+    against(spark, tmp_path, name, embeddings=EQUAL)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_no_row_for_each_pair(spark, tmp_path, name):
+    """Pairs of queries and gallery rows are compared in blocks within a task, and don't pass from operator to operator."""
+    read = plan_of(catalogue.QUERIES[name](spark, DATA))
+    assert "zip_with" not in read or name == "reid_sampled_gallery"
+
+
+def test_rows_without_a_number_or_a_vector():
+    u, none = slabs.unpacked(pa.array([[3.0, 4.0], None, [0.0, 0.0], [4.0, 3.0]]))
+    assert none.tolist() == [False, True, False, False]
+    r, c, x = slabs.nearest(u, u, 4, none, none)
+    assert [(int(a), int(b)) for a, b in zip(r, c)][:4] == [(0, 2), (0, 0), (0, 3), (0, 1)]  # as ORDER BY sim DESC has them
+    assert x[1] == 1.0 and x[2] == 0.96 and np.isposinf(x[0]) and np.isneginf(x[3])
