@@ -36,7 +36,7 @@ def test_identities_of_five_digits(spark, tmp_path):
 
 #: Vectors of a few kinds, so that most meet equal ones, in an order that isn't that of their ids.
 EQUAL = "SELECT a.vec_id, b.embedding, a.label FROM small_embeddings a JOIN small_embeddings b ON b.vec_id = (a.vec_id * 7 + a.vec_id // 100) % 23"
-RANKED = ("reid_roc", "reid_sampled_gallery", "reid_map", "reid_by_query", "reid_cmc", "recall_at_k", "matched_results", "reid_distance_topk", "submission_topk", "knn_handoff", "lambda_sweep", "query_expansion")
+RANKED = ("reid_distance_topk", "submission_topk", "knn_handoff", "lambda_sweep", "rerank", "reid_map", "reid_by_query", "reid_cmc", "reid_roc", "recall_at_k", "matched_results", "reid_sampled_gallery", "query_expansion")
 
 
 @pytest.mark.parametrize("name", RANKED)
