@@ -63,3 +63,16 @@ def test_rows_without_a_number_or_a_vector():
     r, c, x = slabs.nearest(u, u, 4, none, none)
     assert [(int(a), int(b)) for a, b in zip(r, c)][:4] == [(0, 2), (0, 0), (0, 3), (0, 1)]  # as ORDER BY sim DESC has them
     assert x[1] == 1.0 and x[2] == 0.96 and np.isposinf(x[0]) and np.isneginf(x[3])
+
+
+#: Events that fall on few hours and places, so that frames are crowded and distances are equal.
+CROWDED = "SELECT event_id + 1000 * k AS event_id, date_trunc('day', ts) + INTERVAL (event_id % 3) HOUR AS ts, user_id + 15 * k AS user_id, event_type, floor(value / 8) * (1 + k % 2) AS value, props FROM small_events, range(0, 4) r(k)"
+
+
+@pytest.mark.parametrize("name", ["buffer_match", "buffer_claims"])
+def test_crowded_frames(spark, tmp_path, monkeypatch, name):
+    from trackmill.operators import buffers
+
+    monkeypatch.setattr(buffers, "BLOCK", 7)
+    assert against(spark, tmp_path, name, events=CROWDED)
+    assert plan_of(catalogue.QUERIES[name](spark, str(tmp_path))).count("Join Inner") == (name == "frame_offset_join")
