@@ -69,10 +69,15 @@ def test_rows_without_a_number_or_a_vector():
 CROWDED = "SELECT event_id + 1000 * k AS event_id, date_trunc('day', ts) + INTERVAL (event_id % 3) HOUR AS ts, user_id + 15 * k AS user_id, event_type, floor(value / 8) * (1 + k % 2) AS value, props FROM small_events, range(0, 4) r(k)"
 
 
-@pytest.mark.parametrize("name", ["buffer_match", "buffer_claims"])
+@pytest.mark.parametrize("name", ["buffer_match", "buffer_claims", "frame_offset_join"])
 def test_crowded_frames(spark, tmp_path, monkeypatch, name):
     from trackmill.operators import buffers
 
     monkeypatch.setattr(buffers, "BLOCK", 7)
     assert against(spark, tmp_path, name, events=CROWDED)
     assert plan_of(catalogue.QUERIES[name](spark, str(tmp_path))).count("Join Inner") == (name == "frame_offset_join")
+
+
+def test_frames_are_counted_before_they_meet(spark):
+    plan = plan_of(catalogue.QUERIES["frame_offset_join"](spark, DATA))
+    assert plan.split("Join Inner, (frame")[-1].count("Aggregate") >= 2

@@ -109,12 +109,14 @@ def camera_environment(s: SparkSession, d: str) -> DataFrame:
 
 
 def frame_offset_join(s: SparkSession, d: str) -> DataFrame:
-    """Truth and predictions by frame, the predictions' numbers shifted to the first frame of the truth."""
+    """Truth and predictions by frame, the predictions' numbers shifted to the first frame of the truth. Both sides are counted by
+    frame and camera before they meet."""
     t = V.detections(s, d)
     truth = t.where("id % 2 = 0").select((F.col("frame") + 5000).alias("frame"), "camera")
     first = F.broadcast(truth.agg((F.min("frame") - 1).alias("shift")))
     p = t.where("id % 2 = 1").crossJoin(first).select((F.col("frame") + F.col("shift")).alias("frame"), F.col("camera").alias("p_camera"))
-    return truth.join(p, "frame").groupBy("camera", "p_camera").agg(F.count("*").alias("n"))
+    a, b = truth.groupBy("frame", "camera").agg(F.count("*").alias("a")), p.groupBy("frame", "p_camera").agg(F.count("*").alias("b"))
+    return a.join(b, "frame").groupBy("camera", "p_camera").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
 
 
 def weighted_sample(s: SparkSession, d: str) -> DataFrame:
