@@ -1,14 +1,16 @@
 """Queries on tables with larger keys, equal vectors and crowded frames, against their SQL."""
 
 import os
+import random
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_queries import DATA, plain
-from trackmill.operators import slabs
+from trackmill.operators import identity, mot, slabs, supplements
 from trackmill.plans import catalogue
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -81,3 +83,25 @@ def test_crowded_frames(spark, tmp_path, monkeypatch, name):
 def test_frames_are_counted_before_they_meet(spark):
     plan = plan_of(catalogue.QUERIES["frame_offset_join"](spark, DATA))
     assert plan.split("Join Inner, (frame")[-1].count("Aggregate") >= 2
+
+
+def test_identities_of_many_tracks(spark):
+    n = 100_000  # a matrix of them would have 80 GB
+    pairs = spark.range(n).select(F.lit("c").alias("camera"), F.col("id").alias("track"), F.explode(F.array(F.col("id"), F.col("id") + n * (F.col("id") % 3 == 0).cast("int"))).alias("hyp"), (1 + F.col("id") % 5).alias("n")).distinct()
+    counts = spark.createDataFrame([("c", n, n)], "camera string, truths long, hyps long")
+    assert supplements.identity_f1(pairs, counts).first()["idtp"] == sum(1 + i % 5 for i in range(n))
+
+
+def test_trees_against_the_assignment():
+    pick = random.Random(6)
+    for _ in range(200):
+        a, b = [0], [0]
+        for _ in range(pick.randrange(9)):  # each new node hangs on one of the other side
+            if pick.random() < 0.5:
+                a, b = [*a, max(a) + 1], [*b, pick.choice(b)]
+            else:
+                a, b = [*a, pick.choice(a)], [*b, max(b) + 1]
+        n = np.array([pick.randrange(1, 9) for _ in a])
+        cost = np.zeros((max(a) + 1, max(b) + 1))
+        cost[a, b] = -n
+        assert mot.most_in_tree(np.array(a), np.array(b), n) == -sum(cost[i, j] for i, j in identity.assign(cost))
