@@ -105,3 +105,11 @@ def test_trees_against_the_assignment():
         cost = np.zeros((max(a) + 1, max(b) + 1))
         cost[a, b] = -n
         assert mot.most_in_tree(np.array(a), np.array(b), n) == -sum(cost[i, j] for i, j in identity.assign(cost))
+
+
+def test_sets_of_cameras_meet_by_their_sets(spark, tmp_path):
+    few = "SELECT event_id * 2 + (user_id + event_id // 97) % 2 AS event_id, TIMESTAMP '2024-01-05 01:00:00' AS ts, event_id // 3 AS user_id, event_type, value, props FROM small_events"
+    assert len(against(spark, tmp_path, "camera_sets", events=few)) > 1000
+    plan = catalogue.QUERIES["camera_sets"](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    pairs = [x for x in plan.splitlines() if "Join" in x and "person" in x]
+    assert pairs and all("NestedLoop" not in x and "Cartesian" not in x for x in pairs)

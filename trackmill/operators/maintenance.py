@@ -12,6 +12,8 @@ from trackmill.sources.tables import materialise, table
 
 #: A multiplicative mix of ids for sampling that any engine can compute: (id * A + seed) mod M.
 MIX, MODULUS = 48271, 2147483647
+#: Parts into which the persons of a set of cameras are dealt.
+DEALT = 16
 
 
 def mixed(x: Column, seed: int = 0) -> Column:
@@ -78,8 +80,13 @@ def set_difference(s: SparkSession, d: str) -> DataFrame:
 def camera_sets(s: SparkSession, d: str) -> DataFrame:
     """Merge guard: persons of one day whose sets of cameras don't overlap."""
     c = V.tracking_events(s, d).where("session = '2024-01-05'").groupBy("person").agg(F.sort_array(F.collect_set("camera")).alias("a"))
-    b = c.select(F.col("person").alias("other"), F.col("a").alias("b"))
-    return c.join(b, (F.col("person") < F.col("other")) & ~F.arrays_overlap("a", "b")).select("person", "other", F.size(F.array_union("a", "b")).cast("long").alias("cameras"))
+    # persons of one set meet those of sets without a common camera; a set's persons are dealt out, as there are few sets
+    sets = c.groupBy("a").count().select("a")
+    apart = sets.crossJoin(F.broadcast(sets.select(F.col("a").alias("b")))).where(~F.arrays_overlap("a", "b")).withColumn("cameras", F.size(F.array_union("a", "b")).cast("long"))
+    deal = F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))
+    left = c.join(F.broadcast(apart), "a").select("person", "b", "cameras", F.pmod(F.xxhash64("person"), F.lit(DEALT)).alias("part"))
+    right = c.select(F.col("person").alias("other"), F.col("a").alias("b"), F.explode(deal).alias("part"))
+    return left.join(right, ["b", "part"]).where("person < other").select("person", "other", "cameras")
 
 
 def dataset_union(s: SparkSession, d: str) -> DataFrame:
