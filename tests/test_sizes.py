@@ -113,3 +113,9 @@ def test_sets_of_cameras_meet_by_their_sets(spark, tmp_path):
     plan = catalogue.QUERIES["camera_sets"](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     pairs = [x for x in plan.splitlines() if "Join" in x and "person" in x]
     assert pairs and all("NestedLoop" not in x and "Cartesian" not in x for x in pairs)
+
+
+def test_boxes_of_crowded_slots(spark, tmp_path):
+    assert len(against(spark, tmp_path, "grid_associate", events=CROWDED)) > 500
+    plan = plan_of(catalogue.QUERIES["grid_associate"](spark, DATA))
+    assert "Join" not in plan and "Generate" not in plan

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions import geometry as G
+from trackmill.functions.near import half_up as near_half_up
+from trackmill.functions.near import near_pairs
 from trackmill.operators.aggregates import half_up
 from trackmill.sources import views as V
 
@@ -72,18 +76,61 @@ def ground_truth_match(s: SparkSession, d: str) -> DataFrame:
     return best.select("id", (-F.col("b.m")).alias("gt_id"), F.col("b.iou").alias("iou"))
 
 
+def associated(a: pd.DataFrame, b: pd.DataFrame, cell: float = 100.0, first: tuple[float, float] = (25.0, 50.0)) -> pd.DataFrame:
+    """The best of b for each of a (id, x1, y1, x2, y2) in touching cells of the foot points: most overlap, then nearest centre, then
+    smallest id; poor and far pairs go. Equal boxes are told once. Smaller cells come first, and are enough where the overlap is
+    more than any box beyond them can have."""
+    at = ["x1", "y1", "x2", "y2"]
+    u, who = np.unique(a[at].to_numpy(), axis=0, return_inverse=True)
+    v, same = np.unique(b[at].to_numpy(), axis=0, return_inverse=True)
+    least = np.full(len(v), np.iinfo(np.int64).max)
+    np.minimum.at(least, same.ravel(), b["id"].to_numpy())
+    foot = lambda x: ((x[:, 0] + x[:, 2]) / 2, x[:, 3])
+    size = lambda x: (x[:, 2] - x[:, 0], x[:, 3] - x[:, 1])
+    (wu, hu), (wv, hv) = size(u), size(v)
+    best, far, whose = np.full(len(u), -1.0), np.full(len(u), np.inf), np.full(len(u), -1)
+    enough = np.full(len(u), -1.0)
+    # where all boxes have an area, overlaps along an axis bound that of the boxes
+    steps = [(*first, True)] if min(wu.min(), hu.min(), wv.min(), hv.min()) > 0 else []
+    for cx, cy, some in [*steps, (cell, cell, False)]:
+        left = np.flatnonzero((best < enough) | (best < 0))
+        for i, j in near_pairs(*(x[left] for x in foot(u)), *foot(v), cx, cy):
+            i = left[i]
+            p, q = u[i], v[j]
+            dx, dy = (p[:, 0] + p[:, 2]) / 2 - (q[:, 0] + q[:, 2]) / 2, (p[:, 1] + p[:, 3]) / 2 - (q[:, 1] + q[:, 3]) / 2
+            dist = near_half_up(np.sqrt(dx * dx + dy * dy))
+            both = np.maximum(np.minimum(p[:, 2], q[:, 2]) - np.maximum(p[:, 0], q[:, 0]), 0.0) * np.maximum(np.minimum(p[:, 3], q[:, 3]) - np.maximum(p[:, 1], q[:, 1]), 0.0)
+            union = wu[i] * hu[i] + wv[j] * hv[j] - both
+            with np.errstate(invalid="ignore", divide="ignore"):
+                iou = near_half_up(np.where(union > 0, both / union, 0.0))
+            fit = (iou >= 0.1) | (dist <= 96)
+            i, j, iou, dist = i[fit], j[fit], iou[fit], dist[fit]
+            order = np.lexsort((least[j], dist, -iou, i))
+            i, j, iou, dist = i[order], j[order], iou[order], dist[order]
+            new = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+            best[i[new]], far[i[new]], whose[i[new]] = iou[new], dist[new], j[new]
+        if some:
+            wide, high = (wu + wv.max()) / 2, np.maximum(hu, hv.max())
+            enough = np.maximum(np.maximum((wide - cx) / (wide + cx), (high - cy) / high), 0.0) + 1e-5
+    who = who.ravel()
+    found = whose[who] >= 0
+    who = who[found]
+    return pd.DataFrame({"id": a["id"].to_numpy()[found], "track_id": least[whose[who]], "iou": best[who], "dist": far[who]})
+
+
 def grid_associate(s: SparkSession, d: str) -> DataFrame:
     """Detections to tracks by foot point: cells of 100 pixels, then IoU, centre distance and id; poor and far pairs go."""
-    rows = V.detections(s, d).withColumn("fx", (F.col("x1") + F.col("x2")) / 2).withColumn("fy", F.col("y2")).withColumn("slot", F.floor(F.col("us") / (6 * V.HOUR)))
-    pick = ["camera", "slot", "id", "fx", "fy", "x1", "y1", "x2", "y2"]
-    j = grid_join(rows.where("id % 2 = 0").select(pick), rows.where("id % 2 = 1").withColumn("camera", F.concat(F.lit("c0"), (F.col("id") % 4).cast("string"))).select(pick), "fx", "fy", 100.0, ["camera", "slot"])
-    cx = lambda p: ((F.col(f"{p}x1") + F.col(f"{p}x2")) / 2, (F.col(f"{p}y1") + F.col(f"{p}y2")) / 2)
-    dist = half_up(G.distance(*cx(""), *cx("b_")))
-    # far pairs need an overlap, which is cheap to tell; the ratio is only worked out for what is left
-    meets = (F.col("x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("x2")) & (F.col("y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("y2"))
-    j = j.withColumn("dist", dist).where((F.col("dist") <= 96) | meets).withColumn("iou", half_up(G.iou(box(), box("b_")))).where("iou >= 0.1 OR dist <= 96")
-    best = j.groupBy("id").agg(F.min(F.struct((-F.col("iou")).alias("m"), "dist", "b_id")).alias("b"))
-    return best.select("id", F.col("b.b_id").alias("track_id"), (-F.col("b.m")).alias("iou"), F.col("b.dist").alias("dist"))
+    odd = F.col("id") % 2 != 0
+    rows = V.detections(s, d).withColumn("slot", F.floor(F.col("us") / (6 * V.HOUR))).withColumn("camera", F.when(odd, F.concat(F.lit("c0"), (F.col("id") % 4).cast("string"))).otherwise(F.col("camera")))
+
+    def one(key, x: pd.DataFrame) -> pd.DataFrame:
+        even = x["id"] % 2 == 0
+        if even.all() or not even.any():
+            return pd.DataFrame({"id": [], "track_id": [], "iou": [], "dist": []})
+        return associated(x[even], x[~even])
+
+    whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in ("x1", "y1", "x2", "y2"))).select("camera", "slot", "id", "x1", "y1", "x2", "y2")
+    return whole.groupBy("camera", "slot").applyInPandas(one, "id long, track_id long, iou double, dist double")
 
 
 def zone_overlap(s: SparkSession, d: str) -> DataFrame:
