@@ -119,3 +119,8 @@ def test_boxes_of_crowded_slots(spark, tmp_path):
     assert len(against(spark, tmp_path, "grid_associate", events=CROWDED)) > 500
     plan = plan_of(catalogue.QUERIES["grid_associate"](spark, DATA))
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_persons_without_a_vector_keep_their_ids(spark, tmp_path):
+    rows = against(spark, tmp_path, "stream_reid_ids", embeddings="SELECT * FROM small_embeddings WHERE vec_id % 3 = 0")
+    assert len(rows) > 900
