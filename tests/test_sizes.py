@@ -124,3 +124,9 @@ def test_boxes_of_crowded_slots(spark, tmp_path):
 def test_persons_without_a_vector_keep_their_ids(spark, tmp_path):
     rows = against(spark, tmp_path, "stream_reid_ids", embeddings="SELECT * FROM small_embeddings WHERE vec_id % 3 = 0")
     assert len(rows) > 900
+
+
+def test_vectors_are_not_moved_with_each_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(slabs, "GALLERY", 100)
+    against(spark, tmp_path, "jaccard_blend")
+    assert "zip_with" not in plan_of(catalogue.QUERIES["jaccard_blend"](spark, DATA))
